@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from affinity.operators.scale import with_row
+
 
 def distinct_values(df: DataFrame, *cols: str) -> DataFrame:
     return df.select(*cols).distinct()
@@ -44,8 +46,7 @@ def item_means_zero_filled(ratings: DataFrame) -> DataFrame:
     )
     sums = ratings.groupBy("item_id").agg(F.sum("rating").alias("s"))
     mean = F.col("s") / F.col("n_users")
-    # totals is one row
-    return sums.join(F.broadcast(totals)).select(
+    return with_row(sums, totals).select(
         "item_id", F.when(mean > 0, mean).otherwise(F.col("g")).alias("item_mean")
     )
 

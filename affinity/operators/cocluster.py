@@ -7,7 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinity.functions.columns import hash_number
+from affinity.functions.columns import hash_number, nullif0
+from affinity.operators.scale import with_row
 from affinity.session import cut_lineage
 
 
@@ -45,7 +46,7 @@ def _cell_offsets(rows: DataFrame, n_user: int, n_item: int) -> DataFrame:
         return F.broadcast(m.select(*by, F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias(out)))
 
     m = cells.select("g", "h").join(mean(["g", "h"], "a"), ["g", "h"]).join(mean(["g"], "au"), "g").join(mean(["h"], "ai"), "h")
-    m = m.join(mean([], "all"))
+    m = with_row(m, cells.agg((F.sum("s") / nullif0(F.sum("n"))).alias("all")))
     fill = {c: F.coalesce(F.col(c), F.col("all")) for c in ("a", "au", "ai")}
     return m.select("g", "h", (fill["a"] - fill["au"] - fill["ai"]).alias("c"))
 
@@ -92,12 +93,11 @@ def co_clustering_predict(ratings: DataFrame, clusters: CoClusters, targets: Dat
     off = F.broadcast(_cell_offsets(placed, n_user, n_item))
     mu = ratings.groupBy("user_id").agg(F.avg("rating").alias("mu"))
     mi = ratings.groupBy("item_id").agg(F.avg("rating").alias("mi"))
-    g = F.broadcast(ratings.agg(F.avg("rating").alias("_all")))  # one row
+    g = ratings.agg(F.avg("rating").alias("_all"))
     full = (
         targets.join(clusters.users.join(mu, "user_id"), "user_id", "left")
         .join(clusters.items.join(mi, "item_id"), "item_id", "left")
         .join(off, ["g", "h"], "left")
-        .join(g)
     )
     guess = F.coalesce(F.col("c") + F.col("mu") + F.col("mi"), F.col("mu"), F.col("mi"), F.col("_all"))
-    return full.withColumn("prediction", guess).drop("g", "h", "c", "mu", "mi", "_all")
+    return with_row(full, g).withColumn("prediction", guess).drop("g", "h", "c", "mu", "mi", "_all")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.functions.columns import nullif0
-from affinity.operators.scale import grouped_sums, range_bucket
+from affinity.operators.scale import grouped_sums, range_bucket, with_row
 
 
 def rmse(df: DataFrame, pred: str = "prediction", actual: str = "rating") -> DataFrame:
@@ -80,7 +80,7 @@ def binned(df: DataFrame, score: str, bins: int, lo: float, hi: float) -> DataFr
 
 
 def _class_totals(per: DataFrame) -> DataFrame:
-    return F.broadcast(per.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")))  # one row
+    return per.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
 
 
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
@@ -89,7 +89,7 @@ def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     The curve starts at (0, 0), which needs no row.
     """
     per = score_table(df, label, score)
-    return per.join(_class_totals(per)).select(
+    return with_row(per, _class_totals(per)).select(
         F.col("score").alias("threshold"),
         (F.col("fp").cast("double") / nullif0(F.col("n"))).alias("fpr"),
         (F.col("tp").cast("double") / nullif0(F.col("p"))).alias("tpr"),
@@ -108,7 +108,7 @@ def auc_trapezoid(df: DataFrame, label: str, score: str) -> DataFrame:
 def pr_curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """(threshold, precision, recall) per distinct score."""
     per = score_table(df, label, score)
-    return per.join(_class_totals(per)).select(
+    return with_row(per, _class_totals(per)).select(
         F.col("score").alias("threshold"),
         (F.col("tp").cast("double") / (F.col("tp") + F.col("fp"))).alias("precision"),
         (F.col("tp").cast("double") / nullif0(F.col("p"))).alias("recall"),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from affinity.operators.aggregates import item_means_zero_filled
 from affinity.operators.baseline import baseline_als, baseline_predict, residuals
 from affinity.operators.metrics import errors
-from affinity.operators.scale import split_join
+from affinity.operators.scale import split_join, with_row
 from affinity.operators.similarity import corated_pairs, mirror
 
 RATING_SCALE = (1.0, 5.0)
@@ -21,8 +21,7 @@ Predictor = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 def _global_mean(ratings: DataFrame) -> DataFrame:
-    one = ratings.agg(F.avg(F.when(F.col("rating") > 0, F.col("rating"))).alias("g"))
-    return F.broadcast(one)  # one row
+    return ratings.agg(F.avg(F.when(F.col("rating") > 0, F.col("rating"))).alias("g"))
 
 
 def _rated_neighbors(targets: DataFrame, rated: DataFrame) -> DataFrame:
@@ -54,10 +53,9 @@ def knn_centered_predict(ratings: DataFrame, sims: DataFrame, targets: DataFrame
         .agg(F.sum(F.col("sim") * F.col("dev")).alias("num"), F.sum("sim").alias("ws"))
     )
     guess = F.col("item_mean") + F.col("num") / F.col("ws")
+    full = targets.join(sums, ["user_id", "item_id"], "left").join(means, "item_id", "left")
     return (
-        targets.join(sums, ["user_id", "item_id"], "left")
-        .join(means, "item_id", "left")
-        .join(_global_mean(ratings))
+        with_row(full, _global_mean(ratings))
         .withColumn("prediction", F.coalesce(guess, F.col("g")))
         .drop("num", "ws", "item_mean", "g")
     )
@@ -76,8 +74,7 @@ def knn_basic_predict(ratings: DataFrame, sims: DataFrame, targets: DataFrame, k
         .agg(F.sum(F.col("sim") * F.col("rating")).alias("num"), F.sum("sim").alias("ws"))
     )
     return (
-        targets.join(sums, ["user_id", "item_id"], "left")
-        .join(_global_mean(ratings))
+        with_row(targets.join(sums, ["user_id", "item_id"], "left"), _global_mean(ratings))
         .withColumn("prediction", F.coalesce(F.col("num") / F.col("ws"), F.col("g")))
         .drop("num", "ws", "g")
     )
@@ -106,10 +103,9 @@ def slope_one(ratings: DataFrame, targets: DataFrame) -> DataFrame:
         .agg(F.avg("dev").alias("d"))
     )
     user_mean = ratings.groupBy("user_id").agg(F.avg("rating").alias("mu"))
+    full = targets.join(user_mean, "user_id", "left").join(mean_dev, ["user_id", "item_id"], "left")
     return (
-        targets.join(user_mean, "user_id", "left")
-        .join(mean_dev, ["user_id", "item_id"], "left")
-        .join(_global_mean(ratings))
+        with_row(full, _global_mean(ratings))
         .withColumn("prediction", F.coalesce(F.col("mu") + F.coalesce("d", F.lit(0.0)), F.col("g")))
         .drop("mu", "d", "g")
     )

@@ -140,3 +140,9 @@ def grouped_index(
     """0-based row number per group in ``order`` (see :func:`grouped_sums`)."""
     one = F.lit(1).cast("bigint")
     return grouped_sums(df, groups, bucket, order, {out: one}).withColumn(out, F.col(out) - 1)
+
+
+def with_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Add the columns of a one-row table (an aggregate without keys) as a scalar subquery."""
+    packed = one.select(F.struct(*one.columns).alias("_s")).scalar()
+    return df.withColumn("_s", packed).select("*", "_s.*").drop("_s")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from affinity.functions.columns import nullif0
-from affinity.operators.scale import PAIR_FLOOR, split_join
+from affinity.operators.scale import PAIR_FLOOR, split_join, with_row
 
 LIST_WIDTH = 1024  # item ids per slice of a similarity list
 
@@ -62,10 +62,9 @@ def item_pearson_zero_filled(ratings: DataFrame, pairs: DataFrame | None = None)
     dots = corated_pairs(ratings).select("item_i", "item_j", "n", "dot")
     if pairs is not None:
         dots = pairs.join(dots, ["item_i", "item_j"], "left").fillna({"n": 0, "dot": 0.0})
-    users = ratings.agg(F.count_distinct("user_id").cast("double").alias("m"))  # one row
-    full = (
-        dots.join(_item_sums(ratings, "i"), "item_i").join(_item_sums(ratings, "j"), "item_j").join(F.broadcast(users))
-    )
+    users = ratings.agg(F.count_distinct("user_id").cast("double").alias("m"))
+    full = dots.join(_item_sums(ratings, "i"), "item_i").join(_item_sums(ratings, "j"), "item_j")
+    full = with_row(full, users)
     c = F.col
     return full.select("item_i", "item_j", "n", pearson(c("m"), c("dot"), c("ti"), c("tj"), c("ui"), c("uj")).alias("sim"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.functions.columns import hash_number
-from affinity.operators.scale import grouped_index, hash_bucket
+from affinity.operators.scale import grouped_index, hash_bucket, with_row
 
 STEP = 4096  # tries generated, and then numbered, per piece of a user
 
@@ -52,8 +52,8 @@ def downsample_negatives(df: DataFrame, label: str, key: str, ratio: float = 1.0
     md5 = F.md5(F.col(key).cast("string"))
     neg = grouped_index(df.filter(F.col(label) == 0), [], hash_bucket(F.col(key)), [md5, F.col(key)], "_i")
     pos = df.filter(F.col(label) == 1)
-    quota = pos.agg((F.count(F.lit(1)) * F.lit(ratio)).alias("_quota"))  # one row
-    neg = neg.join(F.broadcast(quota), F.col("_i") < F.col("_quota")).drop("_i", "_quota")
+    quota = pos.agg((F.count(F.lit(1)) * F.lit(ratio)).alias("_quota"))
+    neg = with_row(neg, quota).filter("_i < _quota").drop("_i", "_quota")
     return pos.unionByName(neg)
 
 

@@ -15,6 +15,7 @@ from affinity.operators import encode as E
 from affinity.operators import joins as J
 from affinity.operators import split as S
 from affinity.plans.registry import BRAND, RATINGS, REVIEWS, TEXTS, VIEWBUY, query, r6, s6
+from affinity.session import cut_lineage
 from affinity.sources import readers as R
 from affinity.sources import tables as T
 from affinity.sources import writers as Wr
@@ -349,13 +350,13 @@ DENSE_ITEM = "(SELECT asin, row_number() OVER (ORDER BY md5(asin), asin) - 1 AS
 
 @query("assign_ids", f"WITH {REVIEWS} SELECT user_id, item_id, overall AS rating FROM reviews JOIN {DENSE_USER} USING (\"reviewerID\") JOIN {DENSE_ITEM} USING (asin)")
 def assign_ids(spark, sf):
-    df = T.reviews(spark, sf).withColumnRenamed("overall", "rating")
+    df = cut_lineage(T.reviews(spark, sf).withColumnRenamed("overall", "rating"))
     return E.assign_ids(df, {"reviewerID": "user_id", "asin": "item_id"})
 
 
 @query("join_ids", f"WITH {REVIEWS} SELECT \"reviewerID\", asin, user_id, item_id, overall FROM reviews JOIN {DENSE_USER} USING (\"reviewerID\") JOIN {DENSE_ITEM} USING (asin)")
 def join_ids(spark, sf):
-    df = T.reviews(spark, sf)
+    df = cut_lineage(T.reviews(spark, sf))
     return E.join_ids(df, [(E.id_map(df, "reviewerID", "user_id"), "reviewerID"), (E.id_map(df, "asin", "item_id"), "asin")])
 
 
@@ -372,7 +373,7 @@ def label_encode(spark, sf):
 
 
 def _view_buy(spark, sf):
-    meta = T.metadata(spark, sf).withColumnRenamed("asin", "item_id")
+    meta = cut_lineage(T.metadata(spark, sf).withColumnRenamed("asin", "item_id"))
     viewed = K.explode_list_column(meta, "also_viewed", ["item_id", "price", "brand"], "user_also_view")
     bought = K.explode_list_column(meta, "buy_after_viewing", ["item_id"], "user_buy_after_viewing")
     return viewed, bought
@@ -406,7 +407,7 @@ pairs AS (SELECT p.user_id, p.prediction, n.prediction AS other FROM scored p JO
 
 
 def _pos_neg(spark, sf):
-    scored = T.ratings(spark, sf).select("user_id", "item_id", (F.col("rating") + F.col("item_id") % 10).alias("prediction"))
+    scored = cut_lineage(T.ratings(spark, sf)).select("user_id", "item_id", (F.col("rating") + F.col("item_id") % 10).alias("prediction"))
     pos, neg = scored.filter("item_id % 2 = 0"), scored.filter("item_id % 2 = 1")
     return J.pos_neg_pairs(pos, neg)
 
@@ -432,7 +433,7 @@ def counts_left_outer(spark, sf):
     f"WITH {BRAND} SELECT user_id, item_id FROM (SELECT DISTINCT user_id FROM ratings), (SELECT DISTINCT item_id FROM ratings) EXCEPT SELECT user_id, item_id FROM ratings",
 )
 def anti_testset(spark, sf):
-    return J.anti_testset(T.brand_ratings(spark, sf))
+    return J.anti_testset(cut_lineage(T.brand_ratings(spark, sf)))
 
 
 @query("merge_metadata", f"""WITH {REVIEWS}, attrs AS ({ATTRS}) SELECT "reviewerID", asin, overall, brand FROM reviews LEFT JOIN attrs ON asin = 'B' || lpad(CAST(item AS VARCHAR), 9, '0') AND brand IS NOT NULL""")
@@ -587,8 +588,10 @@ LOW_HIGH = "lab AS (SELECT user_id * 1000000 + item_id AS rid, CAST(rating = 5 A
     SELECT rid, label FROM lab WHERE label = 1 UNION ALL SELECT rid, label FROM n WHERE i < (SELECT count(*) FROM lab WHERE label = 1)""",
 )
 def downsample_negatives(spark, sf):
-    lab = T.ratings(spark, sf).select(
-        (F.col("user_id") * 1000000 + F.col("item_id")).alias("rid"), (F.col("rating") == 5).cast("int").alias("label")
+    lab = cut_lineage(
+        T.ratings(spark, sf).select(
+            (F.col("user_id") * 1000000 + F.col("item_id")).alias("rid"), (F.col("rating") == 5).cast("int").alias("label")
+        )
     )
     return S.downsample_negatives(lab, "label", "rid", 1.0)
 
@@ -605,4 +608,4 @@ def downsample_negatives(spark, sf):
     SELECT user_id, item_id FROM neg WHERE k <= p""",
 )
 def negative_sample(spark, sf):
-    return S.negative_sample(T.ratings(spark, sf))
+    return S.negative_sample(cut_lineage(T.ratings(spark, sf)))

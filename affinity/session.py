@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,11 +37,19 @@ def _checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A fresh folder below the cluster's shared checkpoint folder."""
+    _checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and go on from there.
+    """Write ``df`` as a table in the cluster's checkpoint folder and go on from there.
 
-    Loops use it so that plans stay short and a lost executor re-reads files instead of
-    re-running every earlier pass.
+    For tables used several times and for loops: plans stay short, later joins see the real size, and
+    a lost executor means files are read again instead of every earlier step being run again.
     """
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_dir(spark)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

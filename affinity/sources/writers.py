@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.ml.util import MLReadable, MLWritable
 from pyspark.sql import DataFrame, SparkSession
 
-from affinity.session import _checkpoint_dir
+from affinity.session import scratch_dir  # noqa: F401
 
 SINGLE_FILE_ROWS = 5_000_000
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder."""
-    _checkpoint_dir(spark)
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/scratch-{uuid.uuid4().hex}"
-
-
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with header, as many files as there are partitions."""
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
