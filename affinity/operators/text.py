@@ -15,6 +15,7 @@ from affinity.functions.columns import words
 from affinity.functions.stemmer import stem
 from affinity.functions.stopwords import ENGLISH
 from affinity.operators.scale import split_join, with_row
+from affinity.session import cut_lineage
 
 
 def tokenize_words(df: DataFrame, text: str = "text", out: str = "tokens") -> DataFrame:
@@ -97,47 +98,62 @@ def copy_groups(df: DataFrame, key: str, col: str = "tokens") -> DataFrame:
 def text_cosine_distance(df: DataFrame, key: str, col: str = "tokens", max_distance: float = 0.5) -> DataFrame:
     """(key_a, key_b, distance): pairs of different count vectors within a cosine distance, exact.
 
-    Documents with equal vectors are one row (see :func:`copy_groups`). A pair can only be this close if
-    it shares a term of both prefixes, where a document's prefix holds its rarest terms up to the point
-    from which the remaining terms weigh too little to reach the similarity on their own (Bayardo
-    et al. 2007). So frequent terms, which are last in that order, hardly ever bring documents
-    together, and no pair in range is lost.
+    Documents with equal vectors are one row (see :func:`copy_groups`). A document's terms are ordered
+    from rare to frequent; its prefix ends where the rest weighs too little to reach the similarity
+    on its own, so a pair in range shares a prefix term (Bayardo et al. 2007). The prefix part of the
+    product comes from a join on those terms. Pairs it cannot lift into range, even with the largest
+    possible rest, go; for the others the few terms behind a prefix are added. The most frequent terms
+    thus never bring documents together, and no pair in range is lost.
     """
     if not 0 <= max_distance < 1:
         raise ValueError("max_distance must be in [0, 1); at 1 every pair without a common term counts")
     min_sim = 1.0 - max_distance
-    docs = count_vectors(df, key, col).select(key, "terms")
-    flat = docs.select(key, F.inline("terms"))
-    sq = F.aggregate("terms", F.lit(0).cast("bigint"), lambda a, x: a + x["tf"] * x["tf"])
-    norms = docs.select(key, sq.alias("sq"))
-    df_of = flat.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    ranked = flat.join(df_of, "term").join(norms, key)
-    # a document's own terms, rarest first: the window never holds more than one document
-    after = W.partitionBy(key).orderBy(F.desc("df"), F.desc("term")).rowsBetween(W.unboundedPreceding, 0)
-    rest = F.sum(F.col("tf") * F.col("tf")).over(after).alias("rest")
-    # rest: squared weight of this term and of all later (more frequent) ones
-    prefix = ranked.select(key, "term", "sq", rest).filter(F.col("rest") >= F.lit(min_sim * min_sim) * F.col("sq") * (1 - 1e-9))
-    a = prefix.select(F.col(key).alias("_a"), "term", F.col("sq").alias("sq_a"))
-    b = prefix.select(F.col(key).alias("_b"), "term", F.col("sq").alias("sq_b"))
-    cand = (
-        split_join(a, b, ["term"], ["_a"], ["_b"], self_join=True)
-        .filter("_a < _b")
-        .groupBy("_a", "_b")
-        .agg(F.any_value("sq_a").alias("sq_a"), F.any_value("sq_b").alias("sq_b"))
+    rows = _prefix_rows(count_vectors(df, key, col).select(F.col(key).alias("id"), "terms"), min_sim)
+    pre = rows.filter("in_prefix")
+
+    def side(r: DataFrame, s: str, *cols: str) -> DataFrame:
+        return r.select(F.col("id").alias(f"_{s}"), "term", *[F.col(c).alias(f"{c}_{s}") for c in cols])
+
+    cols = ("tf", "sq", "rest_sq")
+    met = split_join(side(pre, "a", *cols), side(pre, "b", *cols), ["term"], ["_a"], ["_b"], self_join=True)
+    part = met.filter("_a < _b").groupBy("_a", "_b").agg(
+        F.sum(F.col("tf_a") * F.col("tf_b")).alias("dot"), *[F.any_value(c).alias(c) for c in ("sq_a", "sq_b", "rest_sq_a", "rest_sq_b")]
     )
-    ta = docs.select(F.col(key).alias("_a"), F.map_from_entries("terms").alias("ma"))
-    tb = docs.select(F.col(key).alias("_b"), F.col("terms").alias("tb"))
-    both = cand.join(ta, "_a").join(tb, "_b")
-    dot = F.aggregate(
-        "tb", F.lit(0).cast("bigint"), lambda acc, x: acc + x["tf"] * F.coalesce(F.try_element_at("ma", x["term"]), F.lit(0))
+    norms = F.sqrt(F.col("sq_a").cast("double") * F.col("sq_b"))
+    most = F.sqrt(F.greatest(F.col("rest_sq_a").cast("double") * F.col("sq_b"), F.col("sq_a").cast("double") * F.col("rest_sq_b")))
+    open_pairs = cut_lineage(
+        part.filter(F.col("dot") + most >= F.lit(min_sim * (1 - 1e-9)) * norms).select("_a", "_b", "dot", norms.alias("norms"))
     )
-    sim = dot.cast("double") / F.sqrt(F.col("sq_a").cast("double") * F.col("sq_b"))
+    tail = rows.filter("NOT in_prefix")
+    ids = open_pairs.select("_a", "_b")
+    # terms behind a's prefix meet all of b; terms behind b's prefix meet only a's prefix
+    rest_a = ids.join(side(tail, "a", "tf"), "_a").join(side(rows, "b", "tf"), ["_b", "term"])
+    rest_b = ids.join(side(tail, "b", "tf"), "_b").join(side(pre, "a", "tf"), ["_a", "term"])
+    prod = (F.col("tf_a") * F.col("tf_b")).alias("x")
+    rest = rest_a.select("_a", "_b", prod).unionByName(rest_b.select("_a", "_b", prod)).groupBy("_a", "_b").agg(F.sum("x").alias("x"))
+    dot = F.col("dot") + F.coalesce("x", F.lit(0))
     return (
-        both.select(F.col("_a").alias(f"{key}_a"), F.col("_b").alias(f"{key}_b"), (1 - sim).alias("distance"))
+        open_pairs.join(rest, ["_a", "_b"], "left")
+        .select(F.col("_a").alias(f"{key}_a"), F.col("_b").alias(f"{key}_b"), (1 - dot / F.col("norms")).alias("distance"))
         .filter(F.col("distance") <= F.lit(max_distance))
     )
 
 
+def _prefix_rows(docs: DataFrame, min_sim: float) -> DataFrame:
+    """(id, term, tf, sq, in_prefix, rest_sq): sq is the squared norm of the document, rest_sq that of its
+    terms behind the prefix."""
+    sq = F.aggregate("terms", F.lit(0).cast("bigint"), lambda a, x: a + x["tf"] * x["tf"])
+    flat = docs.select("id", sq.alias("sq"), F.inline("terms"))
+    df_of = flat.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # the windows hold the terms of one document
+    later = W.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(W.unboundedPreceding, 0)
+    from_here = F.sum(F.col("tf") * F.col("tf")).over(later)
+    rows = flat.join(df_of, "term").withColumn("_w", from_here)
+    rows = rows.withColumn("in_prefix", F.col("_w") >= F.lit(min_sim * min_sim * (1 - 1e-9)) * F.col("sq"))
+    behind = F.max(F.when(~F.col("in_prefix"), F.col("_w"))).over(W.partitionBy("id"))
+    return cut_lineage(rows.select("id", "term", "tf", "sq", "in_prefix", F.coalesce(behind, F.lit(0)).alias("rest_sq")))
+
+
 def word2vec(size: int = 100, min_count: int = 2, max_iter: int = 1, seed: int = 17, partitions: int = 1, col: str = "tokens", out: str = "docvec") -> Word2Vec:
     return Word2Vec(
         vectorSize=size, minCount=min_count, maxIter=max_iter, seed=seed, numPartitions=partitions, inputCol=col, outputCol=out
