@@ -26,7 +26,7 @@ def _global_mean(ratings: DataFrame) -> DataFrame:
 
 def _rated_neighbors(targets: DataFrame, rated: DataFrame) -> DataFrame:
     """Every target next to the other items its user rated; a user with many of both is cut into pieces."""
-    t = targets.select("user_id", "item_id").distinct()
+    t = targets.select("user_id", "item_id")
     return split_join(t, rated, ["user_id"], ["item_id"], ["item_j"]).filter("item_id <> item_j")
 
 
@@ -66,7 +66,7 @@ def knn_basic_predict(ratings: DataFrame, sims: DataFrame, targets: DataFrame, k
     rated = ratings.select("user_id", F.col("item_id").alias("item_j"), "rating")
     w = W.partitionBy("user_id", "item_id").orderBy(F.col("sim").desc(), "item_j")
     sums = (
-        _rated_neighbors(targets, rated)
+        _rated_neighbors(targets.select("user_id", "item_id").distinct(), rated)
         .join(_positive_sims(sims), ["item_id", "item_j"])
         .withColumn("_k", F.row_number().over(w))
         .filter(F.col("_k") <= k)
@@ -82,11 +82,10 @@ def knn_basic_predict(ratings: DataFrame, sims: DataFrame, targets: DataFrame, k
 
 def slope_one_deviations(ratings: DataFrame) -> DataFrame:
     """(item_i, item_j, n, dev): mean of r_i - r_j over common users, both directions."""
-    p = corated_pairs(ratings).select(
-        "item_i", "item_j", "n", ((F.col("si") - F.col("sj")) / F.col("n")).alias("dev")
-    )
-    flip = p.select(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j"), "n", (-F.col("dev")).alias("dev"))
-    return p.unionByName(flip)
+    dev = (F.col("si") - F.col("sj")) / F.col("n")
+    there = F.struct(F.col("item_i"), F.col("item_j"), F.col("n"), dev.alias("dev"))
+    back = F.struct(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j"), F.col("n"), (-dev).alias("dev"))
+    return corated_pairs(ratings).select(F.inline(F.array(there, back)))
 
 
 def slope_one(ratings: DataFrame, targets: DataFrame) -> DataFrame:

@@ -92,9 +92,10 @@ def item_pearson_baseline(residuals: DataFrame, shrinkage: float = 100.0) -> Dat
 
 
 def mirror(sims: DataFrame) -> DataFrame:
-    """Both directions of every pair."""
-    flip = sims.select(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j"), "sim")
-    return sims.select("item_i", "item_j", "sim").unionByName(flip)
+    """Both directions of every pair, from one pass over the pairs."""
+    there = F.struct(F.col("item_i"), F.col("item_j"), F.col("sim"))
+    back = F.struct(F.col("item_j").alias("item_i"), F.col("item_i").alias("item_j"), F.col("sim"))
+    return sims.select(F.inline(F.array(there, back)))
 
 
 def similarity_lists(sims: DataFrame, width: int = LIST_WIDTH) -> DataFrame:

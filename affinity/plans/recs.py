@@ -177,7 +177,7 @@ preds AS (SELECT user_id, item_id, {s6("coalesce(item_mean + shift, g)")} AS pre
 
 def _centered(spark, sf):
     r = cut_lineage(T.brand_ratings(spark, sf))
-    preds = P.knn_centered_predict(r, S.item_pearson_zero_filled(r), anti_testset(r))
+    preds = P.knn_centered_predict(r, S.item_pearson_zero_filled(r), cut_lineage(anti_testset(r)))
     return _six(preds, "prediction")
 
 
@@ -215,7 +215,7 @@ def top_n_lists(spark, sf):
 def knn_basic_predict(spark, sf):
     r = cut_lineage(T.brand_ratings(spark, sf))
     sims = S.item_cosine_corated(r).withColumn("sim", F.round("sim", 9))
-    return _six(P.knn_basic_predict(r, sims, anti_testset(r), 5), "prediction")
+    return _six(P.knn_basic_predict(r, sims, cut_lineage(anti_testset(r)), 5), "prediction")
 
 
 SLOPE = """dev AS (SELECT a.item_id AS item_i, b.item_id AS item_j, avg(a.rating - b.rating) AS dev FROM ratings a JOIN ratings b
@@ -231,7 +231,7 @@ SLOPE = """dev AS (SELECT a.item_id AS item_i, b.item_id AS item_j, avg(a.rating
 )
 def slope_one(spark, sf):
     r = cut_lineage(T.brand_ratings(spark, sf))
-    return _six(P.slope_one(r, anti_testset(r)), "prediction")
+    return _six(P.slope_one(r, cut_lineage(anti_testset(r))), "prediction")
 
 
 BY_ITEM_MEAN = f"{RATINGS}, im AS (SELECT item_id, avg(rating) AS prediction FROM ratings GROUP BY 1), preds AS (SELECT rating, prediction FROM ratings JOIN im USING (item_id))"
@@ -334,7 +334,7 @@ def biased_mf(spark, sf):
 def co_clustering(spark, sf):
     r = cut_lineage(T.brand_ratings(spark, sf))
     c = CC.co_clustering(r, 3, 3, n_epochs=5)
-    return CC.co_clustering_predict(r, c, anti_testset(r))
+    return CC.co_clustering_predict(r, c, cut_lineage(anti_testset(r)))
 
 
 @query(
@@ -349,7 +349,7 @@ def co_clustering(spark, sf):
 )
 def co_clustering_predict(spark, sf):
     r = cut_lineage(T.brand_ratings(spark, sf))
-    return _six(CC.co_clustering_predict(r, CC.hash_clusters(r), anti_testset(r)), "prediction")
+    return _six(CC.co_clustering_predict(r, CC.hash_clusters(r), cut_lineage(anti_testset(r))), "prediction")
 
 
 @query("item_means", f"WITH {BRAND}, t AS (SELECT count(DISTINCT user_id) AS n FROM ratings) SELECT item_id, {s6('sum(rating) / any_value(n)')} AS item_mean FROM ratings, t GROUP BY 1")
