@@ -6,12 +6,14 @@ that does not depend on the data size.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+Bucket = Callable[[DataFrame], DataFrame]
+
 # A key is heavy when it makes more than 1/MAX_HEAVY of the joined rows, so there are never more
 # than MAX_HEAVY heavy keys and their table can be broadcast whatever the input size.
 MAX_HEAVY = 10_000
@@ -86,11 +88,12 @@ def hash_bucket(key: Column, buckets: int = 256) -> Column:
     return F.floor(lead * buckets / 65536)
 
 
-def range_bucket(df: DataFrame, key: str, buckets: int = 256) -> Column:
-    """Bucket number that grows with ``key``, balanced by a fixed number of sampled cut points.
+def range_bucket(df: DataFrame, key: str, buckets: int = 256) -> Bucket:
+    """Adds a bucket number ``_b`` that grows with ``key``, balanced by a fixed number of sampled cut points.
 
     ``key`` must be distinct in ``df``. The cut points are the keys with the smallest md5 (a uniform
-    choice of at most ``buckets - 1`` values), so this is the only data that reaches the driver.
+    choice of at most ``buckets - 1`` values), so this is the only data that reaches the driver. A null
+    key is in bucket 0.
     """
     cuts = (
         df.select(key)
@@ -99,22 +102,27 @@ def range_bucket(df: DataFrame, key: str, buckets: int = 256) -> Column:
         .limit(buckets - 1)
     )
     vals = sorted(r[0] for r in cuts.collect())
-    kind = df.schema[key].dataType
+    if not vals:
+        return lambda rows: rows.withColumn("_b", F.lit(0))
+    arr = F.array(*[F.lit(v).cast(df.schema[key].dataType) for v in vals])
 
-    def place(lo: int, hi: int) -> Column:
-        """Number of cut points at or below the key, by halving: a few comparisons per row."""
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(key) < F.lit(vals[mid]).cast(kind), place(lo, mid)).otherwise(place(mid + 1, hi))
+    def place(rows: DataFrame) -> DataFrame:
+        # binary search: _b cut points are known to be at or below the key; one projection per halving
+        rows = rows.withColumn("_b", F.lit(0))
+        step = 1 << (len(vals).bit_length() - 1)
+        while step:
+            up = F.get(arr, F.col("_b") + (step - 1)) <= F.col(key)
+            rows = rows.withColumn("_b", F.when(up, F.col("_b") + step).otherwise(F.col("_b")))
+            step >>= 1
+        return rows
 
-    return F.when(F.col(key).isNull(), F.lit(0)).otherwise(place(0, len(vals)))
+    return place
 
 
 def grouped_sums(
     df: DataFrame,
     groups: Sequence[str],
-    bucket: Column,
+    bucket: Column | Bucket,
     order: Sequence[Column],
     sums: dict[str, Column],
     ascending: bool = True,
@@ -125,7 +133,7 @@ def grouped_sums(
     one bucket of one group.
     """
     groups = list(groups)
-    rows = df.withColumn("_b", bucket)
+    rows = df.withColumn("_b", bucket) if isinstance(bucket, Column) else bucket(df)
     totals = rows.groupBy(*groups, "_b").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     b = F.col("_b") if ascending else -F.col("_b")
     before = W.partitionBy(*groups).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
@@ -141,7 +149,7 @@ def grouped_sums(
 
 
 def grouped_index(
-    df: DataFrame, groups: Sequence[str], bucket: Column, order: Sequence[Column], out: str
+    df: DataFrame, groups: Sequence[str], bucket: Column | Bucket, order: Sequence[Column], out: str
 ) -> DataFrame:
     """0-based row number per group in ``order`` (see :func:`grouped_sums`)."""
     one = F.lit(1).cast("bigint")

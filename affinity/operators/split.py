@@ -41,9 +41,11 @@ def balanced_class_sample(df: DataFrame, label: str, key: str, n: int = 5000, se
     """
     rows = grouped_index(df, [label], hash_bucket(F.col(key)), [F.md5(F.col(key).cast("string")), F.col(key)], "_rank")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
-    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(
-        label, "draw", F.floor(F.rand(seed) * F.col("_size")).cast("bigint").alias("_rank")
-    )
+    draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    # 48 bits of md5 instead of a generator: a task that runs again draws the same ranks
+    text = F.concat_ws("|", F.lit(str(seed)), F.col(label).cast("string"), F.col("draw").cast("string"))
+    u = F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
+    draws = draws.select(label, "draw", F.floor(u * F.col("_size")).cast("bigint").alias("_rank"))
     return draws.join(rows, [label, "_rank"]).drop("_rank")
 
 

@@ -568,7 +568,13 @@ def kfold_assign(spark, sf):
     return S.kfold_assign(T.ratings(spark, sf), ["user_id", "item_id"], 10)
 
 
-@query("balanced_class_sample")
+@query(
+    "balanced_class_sample",
+    f"""WITH {TEXTS}, r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id) - 1 AS rank FROM texts),
+    d AS (SELECT label, size, unnest(range(5000)) AS draw FROM (SELECT label, count(*) AS size FROM texts GROUP BY 1))
+    SELECT CAST(d.label AS INTEGER) AS label, CAST(draw AS INTEGER) AS draw, doc_id FROM d JOIN r ON r.label = d.label
+      AND r.rank = CAST(floor(CAST(concat('0x', substr(md5('17|' || d.label || '|' || draw), 1, 12)) AS BIGINT) / CAST(281474976710656 AS DOUBLE) * size) AS BIGINT)""",
+)
 def balanced_class_sample(spark, sf):
     docs = T.review_texts(spark, sf).select("doc_id", "label")
     return S.balanced_class_sample(docs, "label", "doc_id", 5000)
