@@ -100,4 +100,4 @@ def co_clustering_predict(ratings: DataFrame, clusters: CoClusters, targets: Dat
         .join(off, ["g", "h"], "left")
     )
     guess = F.coalesce(F.col("c") + F.col("mu") + F.col("mi"), F.col("mu"), F.col("mi"), F.col("_all"))
-    return with_row(full, g).withColumn("prediction", guess).drop("g", "h", "c", "mu", "mi", "_all")
+    return with_row(full, g).select(*targets.columns, guess.alias("prediction"))

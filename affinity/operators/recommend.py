@@ -57,7 +57,7 @@ def knn_centered_predict(ratings: DataFrame, sims: DataFrame, targets: DataFrame
     return (
         with_row(full, _global_mean(ratings))
         .withColumn("prediction", F.coalesce(guess, F.col("g")))
-        .drop("num", "ws", "item_mean", "g")
+        .select(*targets.columns, "prediction")
     )
 
 
@@ -76,7 +76,7 @@ def knn_basic_predict(ratings: DataFrame, sims: DataFrame, targets: DataFrame, k
     return (
         with_row(targets.join(sums, ["user_id", "item_id"], "left"), _global_mean(ratings))
         .withColumn("prediction", F.coalesce(F.col("num") / F.col("ws"), F.col("g")))
-        .drop("num", "ws", "g")
+        .select(*targets.columns, "prediction")
     )
 
 
@@ -106,7 +106,7 @@ def slope_one(ratings: DataFrame, targets: DataFrame) -> DataFrame:
     return (
         with_row(full, _global_mean(ratings))
         .withColumn("prediction", F.coalesce(F.col("mu") + F.coalesce("d", F.lit(0.0)), F.col("g")))
-        .drop("mu", "d", "g")
+        .select(*targets.columns, "prediction")
     )
 
 
