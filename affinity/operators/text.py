@@ -114,11 +114,13 @@ def text_cosine_distance(df: DataFrame, key: str, col: str = "tokens", max_dista
     def side(r: DataFrame, s: str, *cols: str) -> DataFrame:
         return r.select(F.col("id").alias(f"_{s}"), "term", *[F.col(c).alias(f"{c}_{s}") for c in cols])
 
-    cols = ("tf", "sq", "rest_sq")
-    met = split_join(side(pre, "a", *cols), side(pre, "b", *cols), ["term"], ["_a"], ["_b"], self_join=True)
-    part = met.filter("_a < _b").groupBy("_a", "_b").agg(
-        F.sum(F.col("tf_a") * F.col("tf_b")).alias("dot"), *[F.any_value(c).alias(c) for c in ("sq_a", "sq_b", "rest_sq_a", "rest_sq_b")]
-    )
+    def weights(s: str) -> DataFrame:
+        one = rows.groupBy("id").agg(F.max("sq").alias(f"sq_{s}"), F.max("rest_sq").alias(f"rest_sq_{s}"))
+        return one.withColumnRenamed("id", f"_{s}")
+
+    met = split_join(side(pre, "a", "tf"), side(pre, "b", "tf"), ["term"], ["_a"], ["_b"], self_join=True)
+    part = met.filter("_a < _b").groupBy("_a", "_b").agg(F.sum(F.col("tf_a") * F.col("tf_b")).alias("dot"))
+    part = part.join(weights("a"), "_a").join(weights("b"), "_b")
     norms = F.sqrt(F.col("sq_a").cast("double") * F.col("sq_b"))
     most = F.sqrt(F.greatest(F.col("rest_sq_a").cast("double") * F.col("sq_b"), F.col("sq_a").cast("double") * F.col("rest_sq_b")))
     open_pairs = cut_lineage(
