@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinity.llm import bpe, neardup, quality, toxicity
+from affinity.llm import bpe, neardup, quality, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,5 +29,23 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, labels))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality, op4_minhash, op6_bpe, op9_toxicity)}
-TWINS: dict[str, str] = {}
+def op10_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(_table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = """
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS k
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM w)),
+firsts AS (SELECT k, min(doc_id) AS least FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, p + unnest(range(0, 13)) AS p FROM win JOIN firsts USING (k) WHERE least < doc_id),
+each AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (SELECT e.doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY e.p) AS t
+         FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""
+
+
+QUERIES = {f.__name__: f for f in (op3_quality, op4_minhash, op6_bpe, op9_toxicity, op10_fm_index)}
+TWINS: dict[str, str] = {"op10_fm_index": OP10_SQL}
