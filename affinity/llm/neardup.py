@@ -173,7 +173,7 @@ def _cells(clusters: DataFrame) -> DataFrame:
 
 
 def _links(docs: DataFrame, cells: DataFrame, k: int, threshold: int) -> DataFrame:
-    rows = docs.select(F.col("doc_id").alias("node"), "text").join(cells, "node")
+    rows = docs.select(F.col("doc_id").alias("node"), "text").join(cells.hint("merge"), "node")
     rows = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
 
     def compare(nodes: list, texts: list) -> tuple[list, list]:
@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     bands = full.join(classes, (full.digest == classes.digest) & (full.doc_id == classes.c)).select("c", F.explode("bands").alias("band"))
     bands = cut_lineage(bands)
     stars = cut_lineage(bands.groupBy("band").agg(F.min("c").alias("lead"), F.max("c").alias("last")).filter("lead < last").select("band", "lead"))
-    near = bands.join(stars, "band").filter("c <> lead").select("c", "lead")
+    near = bands.join(stars.hint("merge"), "band").filter("c <> lead").select("c", "lead")
     clusters = components(near, "c", "lead")
     links = _links(docs, cut_lineage(_cells(clusters)), k, threshold)
     groups = components(links)
