@@ -377,10 +377,10 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     spark = docs.sparkSession
     own = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchors = own.mapInArrow(_send_anchors(window, anchor, 2 * parts), _ANCHOR_ROWS)
+    anchors = own.mapInArrow(_send_anchors(window, anchor, 64 * parts), _ANCHOR_ROWS)
     anchors = anchors.repartition("bucket").sortWithinPartitions("bucket")
     places = anchors.mapInArrow(_repeated, "doc_id long, places binary").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    marked = own.withColumn("text_id", F.xxhash64("text")).join(cut_lineage(places), "doc_id")
+    marked = own.withColumn("text_id", F.xxhash64("text")).join(cut_lineage(places).hint("merge"), "doc_id")
     segments = marked.select("doc_id", "text_id", "text", "places").mapInArrow(_send_segments(window, anchor, 4 * parts), _SEGMENT_ROWS)
     segments = segments.repartition("shard").sortWithinPartitions("shard")
     return segments.mapInArrow(_search(window), "doc_id long, text_id long, ranges binary")
@@ -415,7 +415,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
             n = np.diff(at)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(n - np.diff(k)), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = rows.join(found, ["doc_id", "text_id"], "left").select("doc_id", "text", "ranges")
+    joined = rows.join(found.hint("merge"), ["doc_id", "text_id"], "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
