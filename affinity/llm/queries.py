@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinity.llm import bpe, decontaminate, neardup, quality, substrings, toxicity
+from affinity.llm import bpe, decontaminate, neardup, pii, quality, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, count="n_entities")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -51,5 +56,5 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 FROM w LEFT JOIN kept USING (doc_id)"""
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_quality, op4_minhash, op6_bpe, op9_toxicity, op10_fm_index)}
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_decontaminate, op3_quality, op4_minhash, op6_bpe, op9_toxicity, op10_fm_index)}
 TWINS: dict[str, str] = {"op10_fm_index": OP10_SQL}
