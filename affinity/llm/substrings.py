@@ -35,6 +35,7 @@ from affinity.llm.textops import gram_hash, mix, random_words, runs, slices, spa
 from affinity.session import cut_lineage
 
 WINDOW, ANCHOR = 13, 5
+BUCKETS = 4096  # of anchors, at least; more with the number of shuffle partitions
 CHUNK_BYTES = 16 << 20  # text in which a task looks for its own repeats
 _WORD_UP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -377,7 +378,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
     spark = docs.sparkSession
     own = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    anchors = own.mapInArrow(_send_anchors(window, anchor, 64 * parts), _ANCHOR_ROWS)
+    anchors = own.mapInArrow(_send_anchors(window, anchor, max(BUCKETS, 4 * parts)), _ANCHOR_ROWS)
     anchors = anchors.repartition("bucket").sortWithinPartitions("bucket")
     places = anchors.mapInArrow(_repeated, "doc_id long, places binary").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
     marked = own.withColumn("text_id", F.xxhash64("text")).join(cut_lineage(places).hint("merge"), "doc_id")
