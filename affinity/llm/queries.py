@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from affinity.llm import bpe, decontaminate, neardup, pii, quality, substrings, toxicity
+from affinity.llm import bpe, decontaminate, editprint, neardup, pii, quality, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=4, threshold=80)
 
 
+def op5_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.edited(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
@@ -56,5 +60,5 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 FROM w LEFT JOIN kept USING (doc_id)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_surrogates, op2_decontaminate, op3_quality, op4_minhash, op6_bpe, op9_toxicity, op10_fm_index)}
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_decontaminate, op3_quality, op4_minhash, op5_edit_embedding, op6_bpe, op9_toxicity, op10_fm_index)}
 TWINS: dict[str, str] = {"op10_fm_index": OP10_SQL}
