@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from affinity.llm import bpe, decontaminate, editprint, neardup, pii, quality, substrings, toxicity
+from affinity.llm import bpe, decontaminate, editprint, licences, neardup, pii, pseudolik, quality, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +38,54 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"))
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents stand as files source/lang/doc_id."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path")
+    return licences.scan(_table(spark, sf_dir, "documents").select("doc_id", path, "text"))
+
+
+_VALUES = ", ".join(f"('{a}', '{b}')" for a, b in licences.TEMPLATES)
+OP7_SQL = rf"""
+WITH files AS (SELECT doc_id, concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path, text FROM documents),
+each AS (SELECT doc_id, path, len(regexp_split_to_array(trim(text), '\s+')) AS words,
+                unnest(regexp_split_to_array(text, '\n|[.!?]+\s+')) AS s
+         FROM files WHERE regexp_matches(lower(text), '{licences.CUE}')),
+sec AS (SELECT doc_id, path, words, lower(trim(s)) AS form FROM each WHERE regexp_matches(lower(s), '{licences.CUE}')),
+forms AS (SELECT form, count(*) AS n FROM sec GROUP BY 1),
+tpl(licence, notice) AS (VALUES {_VALUES}),
+ft AS (SELECT form, t, count(*) AS tf FROM (SELECT form, unnest(regexp_extract_all(form, '[a-z0-9]+')) AS t FROM forms) GROUP BY 1, 2),
+tt AS (SELECT licence, t, count(*) AS tf
+       FROM (SELECT licence, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+')) AS t FROM tpl) GROUP BY 1, 2),
+df AS (SELECT t, sum(n) AS df FROM (SELECT t, n FROM ft JOIN forms USING (form) UNION ALL SELECT t, 1 FROM tt) GROUP BY 1),
+tot AS (SELECT coalesce(sum(n), 0) + {len(licences.TEMPLATES)} AS n FROM forms),
+idf AS (SELECT t, ln((1 + n) / (1 + df)) + 1 AS idf FROM df, tot),
+a AS (SELECT form, t, tf * idf AS a FROM ft JOIN idf USING (t)),
+b AS (SELECT licence, t, tf * idf AS b FROM tt JOIN idf USING (t)),
+na AS (SELECT form, sqrt(sum(a * a)) AS na FROM a GROUP BY 1),
+nb AS (SELECT licence, sqrt(sum(b * b)) AS nb FROM b GROUP BY 1),
+dots AS (SELECT form, licence, sum(a * b) AS dot FROM a JOIN b USING (t) GROUP BY 1, 2),
+cosines AS (SELECT form, licence, round(dot / (na * nb), 6) AS cosine FROM dots JOIN na USING (form) JOIN nb USING (licence)),
+found AS (SELECT doc_id, path, words, form, licence, cosine
+          FROM sec JOIN (SELECT * FROM cosines WHERE cosine >= {licences.MIN_COSINE}
+                         QUALIFY row_number() OVER (PARTITION BY form ORDER BY cosine DESC, licence) = 1) USING (form)),
+own AS (SELECT doc_id, any_value(path) AS path, arg_min(licence, (-cosine, licence)) AS licence, max(cosine) AS cosine,
+               2 * sum(len(regexp_split_to_array(form, '\s+'))) >= max(words) AS whole FROM found GROUP BY 1),
+dirs AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, arg_min(licence, (-cosine, licence)) AS licence, max(cosine) AS cosine
+         FROM own WHERE whole OR regexp_matches(regexp_extract(path, '[^/]*$'), '{licences.NAME}') GROUP BY 1),
+heir AS (SELECT f.doc_id, d.licence, d.cosine, d.dir FROM files f JOIN dirs d ON d.dir = '' OR starts_with(f.path, d.dir || '/')
+         WHERE f.doc_id NOT IN (SELECT doc_id FROM own)
+         QUALIFY row_number() OVER (PARTITION BY f.doc_id ORDER BY length(d.dir) DESC) = 1)
+SELECT f.doc_id, f.path, coalesce(o.licence, h.licence) AS licence, coalesce(o.cosine, h.cosine) AS cosine,
+       CASE WHEN o.doc_id IS NOT NULL THEN 'own' WHEN h.doc_id IS NOT NULL THEN 'inherited' END AS origin,
+       CASE WHEN o.doc_id IS NULL THEN h.dir END AS from_dir
+FROM files f LEFT JOIN own o USING (doc_id) LEFT JOIN heir h USING (doc_id)"""
+
+
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pseudolik.score(docs, pseudolik.fit(docs))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     return toxicity.score(docs, toxicity.fit(docs, labels))
@@ -60,5 +109,5 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n,
 FROM w LEFT JOIN kept USING (doc_id)"""
 
 
-QUERIES = {f.__name__: f for f in (op1_surrogates, op2_decontaminate, op3_quality, op4_minhash, op5_edit_embedding, op6_bpe, op9_toxicity, op10_fm_index)}
-TWINS: dict[str, str] = {"op10_fm_index": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_surrogates, op2_decontaminate, op3_quality, op4_minhash, op5_edit_embedding, op6_bpe, op7_licences, op8_pseudo_likelihood, op9_toxicity, op10_fm_index)}
+TWINS: dict[str, str] = {"op7_licences": OP7_SQL, "op10_fm_index": OP10_SQL}
