@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
+HASH_BYTES = 1 << 19
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -65,7 +66,7 @@ def random_words(n: int, seed: int) -> np.ndarray:
 _BYTE = random_words(256, 11)
 
 
-@lru_cache(4)
+@lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(_BASE, -1, 1 << 64)
     up = np.full(n, _BASE, np.uint64)
@@ -75,10 +76,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of the byte spans, the same wherever a span stands."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(1 << max(10, int(len(data)).bit_length()))
+    """64-bit hash of the byte spans (in order, without overlaps), the same wherever a span stands."""
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):  # in blocks, so that the running sums stay small
+        first = starts[i]
+        j = max(i + 1, int(np.searchsorted(ends, first + HASH_BYTES, "right")))
+        out[i:j] = _hash_block(data[first : ends[j - 1]], starts[i:j] - first, ends[i:j] - first)
+        i = j
+    return out
+
+
+def _hash_block(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    up, down = _powers(1 << max(19, int(len(data)).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
