@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ from affinity.llm.textops import gram_hash, mix, random_words, runs, slices, spa
 from affinity.session import cut_lineage
 
 WINDOW, ANCHOR = 13, 5
+BROADCAST_BYTES = 32 << 20  # ranges up to this size are broadcast; beyond it the documents are shuffled to them
 BUCKETS = 4096  # of anchors, at least; more with the number of shuffle partitions
 CHUNK_BYTES = 16 << 20  # text in which a task looks for its own repeats
 _WORD_UP = np.uint64(0x9E3779B97F4A7C15)
@@ -112,7 +114,7 @@ _ANCHOR_ROWS = "bucket int, hash binary, doc binary, place binary"
 
 
 def _send_anchors(window: int, anchor: int, buckets: int) -> Callable:
-    """Rows of (bucket, 40 bits of each hash, doc, place). A hash met in two documents of the chunk is sent once with
+    """Rows of (bucket, 32 more bits of each hash, doc, place). A hash met in two documents of the chunk is sent once with
     place -1; its segments are known to repeat and travel as rows without hashes, spread over the buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,12 +149,15 @@ def _send_anchors(window: int, anchor: int, buckets: int) -> Callable:
                 b = bucket[rows] if own else d[rows] % buckets
                 cut = _groups(b)
                 place = np.where(repeated[rows], -1, p[rows]).astype(np.int32) if own else p[rows]
-                key = h[rows].view(np.uint8).reshape(-1, 8)[:, :5] if own else np.zeros((0, 5), np.uint8)
+                key = h[rows].astype(np.uint32) if own else np.zeros(0, np.uint32)
+                ids = d[rows]
+                if ids.min() >= 0 and ids.max() < 1 << 32:
+                    ids = ids.astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(b[cut[:-1]].astype(np.int32)),
-                        _binary(key, cut if own else np.zeros(len(cut), np.int64), 5),
-                        _binary(d[rows], cut, 8),
+                        _binary(key, cut if own else np.zeros(len(cut), np.int64), 4),
+                        _binary(ids, cut, ids.itemsize),
                         _binary(place, cut, 4),
                     ],
                     ["bucket", "hash", "doc", "place"],
@@ -168,11 +173,10 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, places = [], []
         hashes, own_d, own_p = [], [], []
         for key, doc, place in rows:
-            d, p = np.frombuffer(doc, np.int64), np.frombuffer(place, np.int32)
+            p = np.frombuffer(place, np.int32)
+            d = np.frombuffer(doc, np.uint32 if len(doc) == 4 * len(p) else np.int64).astype(np.int64)
             if len(key):
-                wide = np.zeros((len(d), 8), np.uint8)
-                wide[:, :5] = np.frombuffer(key, np.uint8).reshape(-1, 5)
-                hashes.append(wide.view(np.uint64).ravel())
+                hashes.append(np.frombuffer(key, np.uint32))
                 own_d.append(d)
                 own_p.append(p)
             else:
@@ -214,12 +218,32 @@ def _by_group(batches: Iterator[pa.RecordBatch], key: str, columns: tuple[str, .
         yield out
 
 
-_SEGMENT_ROWS = "shard int, segment binary, doc_id long, text_id long, at binary"
+_SEGMENT_ROWS = "shard int, kind int, blob binary"
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of one shard and chunk, compressed together: segments of a language share most of their letters."""
+    raw = [np.ascontiguousarray(a).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join([np.array([len(r) for r in raw], np.int64).tobytes(), *raw]))
+
+
+def _unpack(blob: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    at, out = 8 * len(kinds), []
+    for n, kind in zip(np.frombuffer(raw, np.int64, len(kinds)).tolist(), kinds, strict=True):
+        out.append(np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at))
+        at += n
+    return out
+
+
+def _packed(shard: np.ndarray, kind: int, blobs: list[bytes]) -> pa.RecordBatch:
+    cols = [pa.array(shard.astype(np.int32)), pa.array([kind] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, ["shard", "kind", "blob"])
 
 
 def _send_segments(window: int, anchor: int, shards: int) -> Callable:
-    """Distinct segments of a chunk with their smallest document and its places; rows without a segment hold the ranges
-    of documents that repeat a whole segment of a smaller one."""
+    """Kind 0: distinct segments of a chunk with their smallest document and its places. Kind 1: ranges of documents
+    that repeat a whole segment of a smaller one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in _chunks(batches):
@@ -258,34 +282,27 @@ def _send_segments(window: int, anchor: int, shards: int) -> Callable:
             groups = np.flatnonzero(mine)
             cut = _groups(key[groups], tid[groups])
             head = groups[cut[:-1]]
+            shard = (a[head] % np.uint64(shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            shard, head, count = shard[order], head[order], np.diff(cut)[order]
+            at = place[groups[np.repeat(cut[:-1][order], count) + runs(count)]].astype(np.int32)
             size = b1[head] - b0[head]
             raw = data[np.repeat(b0[head], size) + runs(size)]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((a[head] % np.uint64(shards)).astype(np.int32)),
-                    _binary(raw, np.concatenate([[0], np.cumsum(size)]), 1),
-                    pa.array(doc[head]),
-                    pa.array(tid[head]),
-                    _binary(place[groups].astype(np.int32), cut, 4),
-                ],
-                ["shard", "segment", "doc_id", "text_id", "at"],
-            )
+            edge, mark = (np.concatenate([[0], np.cumsum(x)]) for x in (size, count))
+            cut = _groups(shard)
+            blobs = [
+                _pack(size[x:z], doc[head[x:z]], tid[head[x:z]], count[x:z], at[mark[x] : mark[z]], raw[edge[x] : edge[z]])
+                for x, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)
+            ]
+            yield _packed(shard[cut[:-1]], 0, blobs)
             rest = np.flatnonzero(~mine)
             if len(rest):
-                rest = rest[np.lexsort((place[rest], tid[rest], doc[rest]))]
-                cut = _groups(doc[rest], tid[rest])
-                head = rest[cut[:-1]]
+                shard = np.abs(doc[rest] % shards)
+                rest = rest[np.lexsort((place[rest], tid[rest], doc[rest], shard))]
+                cut = _groups(np.abs(doc[rest] % shards))
                 span = np.column_stack([place[rest], place[rest] + n[rest]]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.abs(doc[head] % shards).astype(np.int32)),
-                        pa.array([None] * len(head), pa.binary()),
-                        pa.array(doc[head]),
-                        pa.array(tid[head]),
-                        _binary(span, cut, 8),
-                    ],
-                    ["shard", "segment", "doc_id", "text_id", "at"],
-                )
+                blobs = [_pack(doc[rest[x:z]], tid[rest[x:z]], span[x:z]) for x, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+                yield _packed(np.abs(doc[rest[cut[:-1]]] % shards), 1, blobs)
 
     return run
 
@@ -314,22 +331,23 @@ def _search(window: int) -> Callable:
             for x, y in zip(out, (doc, tid, start, end), strict=True):
                 x.append(y)
 
-        for segment, doc, tid, at in rows:
-            if segment is None:
-                span = np.frombuffer(at, np.int32).reshape(-1, 2)
-                put(np.full(len(span), doc), np.full(len(span), tid), span[:, 0], span[:, 1])
-        rows = [r for r in rows if r[0] is not None]
-        if rows:
-            data, offs = utf8(pa.array([r[0] for r in rows], pa.binary()))
-            s, e, at = words(data, offs)
+        parts = []
+        for kind, blob in rows:
+            if kind:
+                doc, tid, span = _unpack(blob, np.int64, np.int64, np.int32)
+                put(doc, tid, span[::2], span[1::2])
+            else:
+                parts.append(_unpack(blob, np.int64, np.int64, np.int64, np.int64, np.int32, np.uint8))
+        if parts:
+            length, doc, own, each, places, data = map(np.concatenate, zip(*parts, strict=True))
+            s, e, at = words(data, np.concatenate([[0], np.cumsum(length)]))
             h = span_hash(data, s, e)
-            doc = np.array([r[1] for r in rows])
             # rows of several tasks may hold one segment: the index takes it once, with its smallest document
             key = _sequence_hash(h, at[:-1], at[1:], int(np.diff(at).max()))
             order = np.lexsort((doc, key))
             cut = _groups(key[order])
             chosen = order[cut[:-1]]
-            which = np.empty(len(rows), np.int64)
+            which = np.empty(len(doc), np.int64)
             which[order] = np.repeat(np.arange(len(chosen)), np.diff(cut))
             size = np.diff(at)[chosen]
             _, number = np.unique(h, return_inverse=True)
@@ -348,24 +366,21 @@ def _search(window: int) -> Callable:
                 least = np.minimum.reduceat(np.append(owner[index.sa], 0), np.column_stack([lo[cut], hi[cut]]).ravel())[::2]
                 first[live] = least[np.searchsorted(lo[cut], lo)]
             # every place of every row: windows of the segment that start in a smaller document
-            places = [np.frombuffer(r[3], np.int32) for r in rows]
-            each = np.array([len(p) for p in places])
-            row = np.repeat(np.arange(len(rows)), each)
-            place = np.concatenate(places).astype(np.int64)
+            row = np.repeat(np.arange(len(doc)), each)
+            place = places.astype(np.int64)
             whole = doc[chosen][which[row]] < doc[row]
-            tid = np.array([r[2] for r in rows])
-            put(doc[row[whole]], tid[row[whole]], place[whole], place[whole] + size[which[row[whole]]])
+            put(doc[row[whole]], own[row[whole]], place[whole], place[whole] + size[which[row[whole]]])
             row, place = row[~whole], place[~whole]
             w = many[which[row]]
             start = np.repeat(begin[which[row]], w) + runs(w)
             hit = np.flatnonzero(first[start] < np.repeat(doc[row], w))
             pick = np.repeat(np.arange(len(row)), w)[hit]
             where = place[pick] + runs(w)[hit]
-            put(doc[row[pick]], tid[row[pick]], where, where + window)
+            put(doc[row[pick]], own[row[pick]], where, where + window)
         return _ranges(*map(np.concatenate, out)) if out[0] else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _by_group(batches, "shard", ("segment", "doc_id", "text_id", "at"), shard)
+        yield from _by_group(batches, "shard", ("kind", "blob"), shard)
 
     return run
 
@@ -416,7 +431,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
             n = np.diff(at)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(n - np.diff(k)), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = rows.join(found.hint("merge"), ["doc_id", "text_id"], "left").select("doc_id", "text", "ranges")
+    size = found.agg(F.sum(F.aggregate("ranges", F.lit(32).cast("bigint"), lambda n, r: n + F.octet_length(r)))).first()[0] or 0
+    side = F.broadcast(found) if size <= BROADCAST_BYTES else found.hint("merge")
+    joined = rows.join(side, ["doc_id", "text_id"], "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
