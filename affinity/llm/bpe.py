@@ -31,10 +31,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from affinity.llm.textops import runs, slices, span_hash, utf8
+from affinity.llm.textops import SMALL_BYTES, runs, slices, span_hash, utf8
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-CACHE_SLOTS = 1 << 20  # distinct slices kept per worker before the cache starts afresh
+CACHE_SLOTS = 1 << 18  # distinct slices kept per worker before the cache starts afresh
 LONG_SLICE = 256  # bytes; longer slices are merged one by one with a heap
 
 # Characters: letter, number, other, white space inside a run, last of a run (not ' '), last of a run
@@ -195,8 +195,9 @@ class Vocabulary:
             else:
                 waiting.setdefault(-(-len(p) // 8), []).append(i)
         for eights, at in waiting.items():
-            for a in range(0, len(at), 1 << 16):
-                self._merge_block([parts[i] for i in at[a : a + (1 << 16)]], eights * 8, at[a : a + (1 << 16)], out)
+            step = (1 << 16) // eights  # slices of a block, so that every block has the same size
+            for a in range(0, len(at), step):
+                self._merge_block([parts[i] for i in at[a : a + step]], eights * 8, at[a : a + step], out)
         return out
 
     def _merge_block(self, parts: list[bytes], width: int, where: list[int], out: list) -> None:
@@ -272,19 +273,18 @@ class Encoder:
 
     def _reset(self) -> None:
         self.slot: dict[bytes, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.begin: list[int] = []
-        self.count: list[int] = []
+        self.flat = np.zeros(0, np.int32)
+        self.begin = self.count = np.zeros(0, np.int64)
 
     def _add(self, parts: list[bytes]) -> None:
-        for p, ids in zip(parts, self.v.merge(parts), strict=True):
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(ids)), np.int32)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.slot[p] = len(self.begin)
-            self.begin.append(self.used)
-            self.count.append(len(ids))
-            self.used += len(ids)
+        if not parts:
+            return
+        merged = self.v.merge(parts)
+        n = np.array([len(ids) for ids in merged])
+        self.slot.update(zip(parts, range(len(self.slot), len(self.slot) + len(parts)), strict=True))
+        self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(n) - n])
+        self.count = np.concatenate([self.count, n])
+        self.flat = np.concatenate([self.flat, *merged])
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, and for each row the number of ids before it."""
@@ -299,7 +299,7 @@ class Encoder:
         parts = [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         self._add([p for p in parts if p not in self.slot])
         slot = np.fromiter((self.slot[p] for p in parts), np.int64, len(parts))
-        begin, count = np.array(self.begin)[slot], np.array(self.count)[slot]
+        begin, count = self.begin[slot], self.count[slot]
         n = count[which]
         ids = self.flat[np.repeat(begin[which], n) + runs(n)]
         before = np.concatenate([[0], np.cumsum(n)])
@@ -328,7 +328,7 @@ def encode(df: DataFrame, name: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(vocabulary(name))
-        for b in slices(batches):
+        for b in slices(batches, limit=SMALL_BYTES):
             data, offs = utf8(b.column("text"))
             ids, at = e.encode(data, offs)
             n = e.v.lengths[ids]
@@ -360,7 +360,7 @@ def decode(df: DataFrame, name: str = VOCABULARY) -> DataFrame:
 
 def _round_trip(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[tuple]:
     e = Encoder(vocabulary(name))
-    for b in slices(batches):
+    for b in slices(batches, limit=SMALL_BYTES):
         data, offs = utf8(b.column("text"))
         ids, at = e.encode(data, offs)
         back, begin = e.v.decode(ids)

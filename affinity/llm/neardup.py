@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinity.llm.components import components
-from affinity.llm.textops import LOWER, gram_hash, mix, random_words, slices, span_hash, utf8, words
+from affinity.llm.textops import LOWER, SMALL_BYTES, gram_hash, mix, random_words, slices, span_hash, utf8, words
 from affinity.session import cut_lineage
 
 BANDS, ROWS, BATCH, BLOCK = 32, 4, 16, 128
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set, band keys (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, limit=SMALL_BYTES):
             sets, at = shingle_sets(*utf8(b.column("text")), k)
             n = np.diff(at)
             raw = memoryview(sets.tobytes())

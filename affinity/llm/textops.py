@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 2 << 20
+SMALL_BYTES = 1 << 19  # for steps that hold many times the text at once
 HASH_BYTES = 1 << 19
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True

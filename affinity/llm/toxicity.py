@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinity.llm.labelled import class_weights, held_out, prior, training_sample
-from affinity.llm.textops import gram_hash, random_words, slices, utf8
+from affinity.llm.textops import SMALL_BYTES, gram_hash, random_words, slices, utf8
 
 GRAMS = (4, 6, 8)
 BITS = 22
@@ -90,7 +90,7 @@ def fit(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << BITS), np.int32)
-        for b in slices(batches):
+        for b in slices(batches, limit=SMALL_BYTES):
             y = b.column("y").to_numpy(zero_copy_only=False)
             row, g = _grams(*utf8(b.column("text")), grams)
             for c in (0, 1):
@@ -122,7 +122,7 @@ def fit(
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = np.zeros(1 << BITS, bool)
         mark[index] = True
-        for b in slices(batches):
+        for b in slices(batches, limit=SMALL_BYTES):
             row, g = _grams(*utf8(b.column("text")), grams, mark)
             at = np.searchsorted(row, np.arange(b.num_rows + 1))
             cols = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(np.searchsorted(index, g).astype(np.int32)))
@@ -159,13 +159,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score and predicted (score of 0.5 or more) for every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << BITS, np.float64)
-        table[model.index] = model.weight
         mark = np.zeros(1 << BITS, bool)
         mark[model.index] = True
-        for b in slices(batches):
+        for b in slices(batches, limit=SMALL_BYTES):
             row, g = _grams(*utf8(b.column("text")), model.grams, mark)
-            z = np.bincount(row, table[g], b.num_rows) + model.intercept
+            z = np.bincount(row, model.weight[np.searchsorted(model.index, g)], b.num_rows) + model.intercept
             s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
@@ -177,13 +175,11 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that score below 0.5, all columns as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << BITS, np.float64)
-        table[model.index] = model.weight
         mark = np.zeros(1 << BITS, bool)
         mark[model.index] = True
-        for b in slices(batches):
+        for b in slices(batches, limit=SMALL_BYTES):
             row, g = _grams(*utf8(b.column("text")), model.grams, mark)
-            z = np.bincount(row, table[g], b.num_rows) + model.intercept
+            z = np.bincount(row, model.weight[np.searchsorted(model.index, g)], b.num_rows) + model.intercept
             yield b.filter(pa.array(z < 0))
 
     return docs.mapInArrow(run, docs.schema)
