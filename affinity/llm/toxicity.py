@@ -94,7 +94,8 @@ def fit(
             y = b.column("y").to_numpy(zero_copy_only=False)
             row, g = _grams(*utf8(b.column("text")), grams)
             for c in (0, 1):
-                total[c] += np.bincount(g[y[row] == c], minlength=1 << BITS).astype(np.int32)
+                own, n = np.unique(g[y[row] == c], return_counts=True)
+                total[c, own] += n.astype(np.int32)
         seen = np.flatnonzero(total.any(0))
         for a in range(0, len(seen), 1 << 16):
             s = seen[a : a + (1 << 16)]
