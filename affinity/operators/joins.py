@@ -88,15 +88,7 @@ def anti_testset(ratings: DataFrame, chunk: int = CHUNK) -> DataFrame:
         .distinct()
         .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_chunks - 1).cast("bigint"))))
     )
-    # users share few chunks: the chunk table joins by broadcast while it is small, else by salted chunk
-    if n_items <= 1_000_000:
-        grid = grid.join(F.broadcast(chunks), "chunk")
-    else:
-        salts = 256
-        salted = chunks.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        grid = grid.withColumn("_s", F.pmod(F.xxhash64("user_id"), F.lit(salts)).cast("int")).join(
-            salted, ["chunk", "_s"]
-        )
+    grid = grid.join(chunks, "chunk")  # a broadcast while the chunk table is small, which the runtime decides
     left = grid.join(rated, ["user_id", "chunk"], "left")
     unrated = F.array_except("ids", F.coalesce("rated", F.array().cast("array<bigint>")))
     return left.select("user_id", F.explode(unrated).alias("item_id"))

@@ -54,15 +54,14 @@ def stem_vocabulary(df: DataFrame, col: str = "tokens") -> DataFrame:
 def stem_tokens(df: DataFrame, key: str, col: str = "tokens") -> DataFrame:
     """Tokens replaced by their stems, in order.
 
-    Terms are counted per document first, so the join to the stem table sees (document, term) once and
-    a frequent term is at most one row per document; its rows are split at run time.
-    The token array is then mapped through the document's own stem table.
+    Every token travels with its place to the stem table and back, so that a document costs what its
+    tokens cost; the rows of a frequent term are split at run time.
     """
     stems = stem_vocabulary(df, col)
-    own = df.select(key, F.explode(F.array_distinct(col)).alias("term")).join(stems, "term")
-    maps = own.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "stem"))).alias("_m"))
-    out = df.join(maps, key, "left")
-    return out.withColumn(col, F.transform(col, lambda t: F.element_at("_m", t))).drop("_m")
+    each = df.select(key, F.posexplode(col).alias("_p", "term")).join(stems, "term", "left")
+    back = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", "stem"))).alias("_s"))
+    out = df.join(back, key, "left")
+    return out.withColumn(col, F.coalesce(F.transform("_s", lambda x: x["stem"]), F.col(col))).drop("_s")
 
 
 def label_text_pairs(df: DataFrame, text: str, label: str) -> DataFrame:

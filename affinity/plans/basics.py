@@ -186,11 +186,11 @@ def parse_vector_strings(spark, sf):
     )
 
 
-@query("write_csv_single", "SELECT p_partkey AS item, p_brand AS brand, p_retailprice AS price FROM part")
-def write_csv_single(spark, sf):
+@query("write_csv", "SELECT p_partkey AS item, p_brand AS brand, p_retailprice AS price FROM part")
+def write_csv(spark, sf):
     path = Wr.scratch_dir(spark)
     cols = [F.col("p_partkey").alias("item"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price")]
-    Wr.write_csv_single(T.table(spark, sf, "part").select(*cols), path)
+    Wr.write_csv(T.table(spark, sf, "part").select(*cols), path)
     return spark.read.csv(path, header=True, schema="item bigint, brand string, price double")
 
 

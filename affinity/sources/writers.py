@@ -9,21 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from affinity.session import scratch_dir  # noqa: F401
 
-SINGLE_FILE_ROWS = 5_000_000
-
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV with header, as many files as there are partitions."""
     df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
 
 
-def write_csv_single(df: DataFrame, path: str, mode: str = "errorifexists", max_rows: int = SINGLE_FILE_ROWS) -> None:
-    """One CSV file. Refused when the table is too large for one task to write."""
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"more than {max_rows} rows for a single file; use write_csv")
-    write_csv(df.coalesce(1), path, mode)
-
-
 def append_run_log(runs: DataFrame, path: str) -> None:
     """Add metric rows to the run log; runs never overwrite each other."""
     runs.write.mode("append").parquet(path)

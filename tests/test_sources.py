@@ -82,12 +82,11 @@ def test_vector_text(spark):
     assert [r["features"] for r in R.parse_vector_strings(df, "l", "t").orderBy("label").collect()] == [[0.5, 0.01], [0.5, 2.0], None, None]
 
 
-def test_single_csv_guard(spark, tmp_path):
-    df = spark.range(20)
-    with pytest.raises(ValueError, match="single file"):
-        Wr.write_csv_single(df, str(tmp_path / "x"), max_rows=10)
-    Wr.write_csv_single(df, str(tmp_path / "y"), max_rows=20)
-    assert len(list((tmp_path / "y").glob("part-*.csv"))) == 1
+def test_csv_round_trip(spark, tmp_path):
+    rows = [(1, 'a "b", c'), (2, None)]
+    Wr.write_csv(spark.createDataFrame(rows, "i int, t string").repartition(2), str(tmp_path / "y"))
+    back = spark.read.csv(str(tmp_path / "y"), header=True, schema="i int, t string", escape='"')
+    assert sorted(tuple(r) for r in back.collect()) == rows
 
 
 def test_run_log_appends(spark, tmp_path):
