@@ -6,6 +6,7 @@ the same on UTF-8 bytes as on characters. Nothing here keeps more than one slice
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -36,6 +37,14 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offs[0] : offs[-1]], offs.astype(np.int64) - offs[0]
 
 
+def release() -> None:
+    """Hand freed memory back to the system: a worker outlives its task and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into pieces of at most ``limit`` bytes of text, one row at least."""
     for b in batches:
@@ -47,6 +56,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             z = max(a + 1, int(np.searchsorted(offs, offs[a] + limit, "right")) - 1)
             yield b.slice(a, z - a)
             a = z
+        del b, offs
+        release()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
