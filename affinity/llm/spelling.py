@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.llm.textops import mix, random_words
-from affinity.operators.scale import split_join
+from affinity.operators.scale import heavy_keys, split_join
 from affinity.session import cut_lineage
 
 RUN = r"[A-Za-zÀ-ÿ]"
@@ -32,7 +32,7 @@ MIN_COUNT = 2
 FACTOR = 10  # a form is so many times as frequent
 DROP = 31  # one in so many occurrences loses a letter
 DEPTH = 64  # longer words are compared by their hashes with one letter left out
-HOT = 2_000_000  # joined rows of one key beyond which it is split
+HOT = 200_000  # walks at one node (rows of one key) beyond which they are split
 
 
 def vocabulary(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = MIN_COUNT) -> DataFrame:
@@ -42,8 +42,10 @@ def vocabulary(docs: DataFrame, min_length: int = MIN_LENGTH, min_count: int = M
     A null or empty text has no words; rows that repeat count again.
     """
     # a run that is too short stays so when it loses a letter
-    long_runs = F.regexp_extract_all("text", F.lit(f"{RUN}{{{min_length},}}"), F.lit(0))
-    runs = docs.select("doc_id", F.explode(long_runs).alias("run")).select("doc_id", F.translate("run", UPPER, LOWER).alias("run"))
+    long_runs = F.regexp_extract_all("text", F.lit(f"(?<!{RUN}){RUN}{{{min_length},}}"), F.lit(0))
+    ascii_only = F.octet_length("run") == F.length("run")
+    lowered = F.when(ascii_only, F.lower("run")).otherwise(F.translate("run", UPPER, LOWER))
+    runs = docs.select("doc_id", F.explode(long_runs).alias("run")).select("doc_id", lowered.alias("run"))
     key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))
     h = F.crc32(key.cast("binary"))
     at = (h % F.length("run")).cast("int")
@@ -95,60 +97,67 @@ def _edges(sides: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 STATE = ["back", "size", "w", "n", "pos", "node", "edits"]
+PAIR = ["back", "size", "w", "n", "only.w AS v", "only.n AS m"]
 
 
-def _met(rows: DataFrame) -> DataFrame:
-    """Pairs of a word and the word of a leaf (only) that one edit separates."""
-    close = F.levenshtein("w", "only.w", 1) == 1
-    return rows.filter(close).select("back", "size", "w", "n", F.col("only.w").alias("v"), F.col("only.n").alias("m"))
+def _enter(sides: DataFrame, entries: DataFrame) -> tuple[DataFrame, bool]:
+    """Walks at their entry nodes, with ``only`` where a leaf's word is a neighbour; and whether some node is hot.
 
-
-def _enter(sides: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs found on entry, and the states of the walks that go on."""
+    A walk keeps to the nodes below its entry node and comes to each by one way, so no node deeper down has
+    more walks than an entry node.
+    """
     length = F.length("w")
     tries = F.explode(F.array(length, length - 1))
     start = sides.select("back", tries.alias("size"), "w", "n").withColumn("node", F.substring(F.col("w"), F.lit(1), _half(F.col("size"))))
-    rows = cut_lineage(split_join(start, entries, ["back", "size", "node"], ["w"], ["then"], HOT))
-    walks = rows.filter("only IS NULL").select("back", "size", "w", "n", F.length("node").alias("pos"), "node", F.lit(0).alias("edits"))
-    return _met(rows.filter("only IS NOT NULL")), walks
+    key = ["back", "size", "node"]
+    hot = heavy_keys(start, entries, key, HOT) is not None
+    rows = split_join(start, entries, key, ["w"], ["then"], HOT) if hot else start.join(entries, key)
+    rows = rows.filter(F.col("only").isNull() | (F.levenshtein("w", "only.w", 1) == 1))
+    return cut_lineage(rows.select("back", "size", "w", "n", F.length("node").alias("pos"), "node", F.lit(0).alias("edits"), "only")), hot
 
 
-def _descend(states: DataFrame, edges: DataFrame) -> DataFrame:
-    """The states one level deeper, with ``only`` where they have come to a leaf.
+def _descend(states: DataFrame, edges: DataFrame, hot: bool) -> DataFrame:
+    """The walks one level deeper, with ``only`` where a leaf's word is a neighbour; those that cannot go on are gone.
 
-    From a state without an edit a walk goes on along its letter; it replaces the letter by a greater one (the
-    smaller word of a pair finds the other) in the trie of its own length; in the trie of shorter words it leaves out
-    the last letter of a row of equal ones. With an edit there is only the word's next letter.
+    Without an edit a walk goes on along its letter; in the trie of its own length it replaces the letter by a greater
+    one (the smaller word of a pair finds the other); in the trie of shorter words it leaves out the last letter of a
+    row of equal ones. With its edit spent it has only its next letter. So an edge is taken in one way at most.
     """
-    joined = split_join(states, edges, ["back", "size", "node"], ["w"], ["kids"], HOT)
-    rows = joined.select(*STATE, F.explode("kids").alias("kid"))
-    own, after = _letter("w", F.col("pos")), _letter("w", F.col("pos") + 1)
-    c, same = F.col("kid.c"), F.length("w") == F.col("size")
-    fresh = F.col("edits") == 0
-    moves = [
-        (c == own, F.col("pos") + 1, F.col("edits")),
-        (fresh & same & (c > own), F.col("pos") + 1, F.lit(1)),
-        (fresh & ~same & (after != own) & (c == after), F.col("pos") + 2, F.lit(1)),
-    ]
-    steps = F.array(*[F.when(ok, F.struct(p.cast("int").alias("pos"), e.cast("int").alias("edits"))) for ok, p, e in moves])
-    rows = rows.select("back", "size", "w", "n", F.col("node").alias("up"), "kid", F.inline(F.filter(steps, lambda s: s.isNotNull())))
-    # with an edit spent the next letter must be there; a leaf's word is compared as a whole
-    on = (F.col("edits") == 0) | F.col("kid.then").contains(_letter("w", F.col("pos")))
-    rows = rows.filter(F.col("kid.only").isNotNull() | on)
-    return rows.select("back", "size", "w", "n", "pos", F.concat("up", "kid.c").alias("node"), "edits", F.col("kid.only").alias("only"))
+    key = ["back", "size", "node"]
+    joined = split_join(states, edges, key, ["w"], ["kids"], HOT) if hot else states.join(edges, key)
+    rows = joined.select(*STATE, _letter("w", F.col("pos")).alias("own"), _letter("w", F.col("pos") + 1).alias("after"), F.explode("kids").alias("kid"))
+    c, same, fresh = F.col("kid.c"), F.length("w") == F.col("size"), F.col("edits") == 0
+    along = c == F.col("own")
+    replace = fresh & same & (c > F.col("own"))
+    leave_out = fresh & ~same & (c == F.col("after"))  # not the own letter, so it is the last of its row
+    rows = rows.filter(along | replace | leave_out)
+    rows = rows.select(
+        "back", "size", "w", "n",
+        (F.col("pos") + F.when(along | replace, 1).otherwise(2)).alias("pos"),
+        F.concat("node", "kid.c").alias("node"),
+        F.when(along, F.col("edits")).otherwise(1).alias("edits"),
+        "kid",
+    )
+    leaf, spent = F.col("kid.only").isNotNull(), F.col("edits") == 1
+    # with the edit spent the rest must agree; on the way, the next letter must be among those that follow
+    rest = F.expr("substring(w, pos + 1) = substring(kid.only.w, length(node) + 1)")
+    ends = F.when(spent, rest).otherwise((F.length("w") > F.col("size")) & (F.levenshtein("w", "kid.only.w", 1) == 1))
+    on = ~spent | F.col("kid.then").contains(_letter("w", F.col("pos")))
+    return rows.filter(F.when(leaf, ends).otherwise(on)).select(*STATE, F.col("kid.only").alias("only"))
 
 
 def _short_pairs(words: DataFrame) -> DataFrame:
     """(a, n, b, m): each pair of neighbours among words of at most ``DEPTH`` letters, once."""
     sides = cut_lineage(_read_both_ways(words))
     entries, edges = _edges(sides)
-    found, states = _enter(sides, entries)
-    pairs, level = [found], 0
-    states = cut_lineage(states)
-    while states.limit(1).count():  # at most DEPTH / 2 + 1 levels
-        rows = cut_lineage(_descend(states, edges.filter(F.col("level") == level)))
-        pairs.append(_met(rows.filter("only IS NOT NULL")))
+    rows, hot = _enter(sides, entries)
+    pairs, level = [], 0
+    while True:  # at most DEPTH / 2 + 1 levels
+        pairs.append(rows.filter("only IS NOT NULL").selectExpr(*PAIR))
         states = rows.filter("only IS NULL").select(*STATE)
+        if states.limit(1).count() == 0:
+            break
+        rows = cut_lineage(_descend(states, edges.filter(F.col("level") == level), hot))
         level += 1
     out = pairs[0]
     for p in pairs[1:]:
