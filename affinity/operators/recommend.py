@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from affinity.operators.aggregates import item_means_zero_filled
 from affinity.operators.baseline import baseline_als, baseline_predict, residuals
 from affinity.operators.metrics import errors
-from affinity.operators.scale import split_join, with_row
+from affinity.operators.scale import grouped_index, range_bucket, split_join, with_row
 from affinity.operators.similarity import corated_pairs, mirror
+from affinity.session import cut_lineage
 
 RATING_SCALE = (1.0, 5.0)
 
@@ -116,9 +117,66 @@ def top_n_per_user(predictions: DataFrame, n: int = 10) -> DataFrame:
     return predictions.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
+def knn_centered_top_n(ratings: DataFrame, sims: DataFrame, n: int = 10, digits: int = 6) -> DataFrame:
+    """The n best unrated items per user by :func:`knn_centered_predict`, without predicting every unrated item.
+
+    Candidates come from the similarities: the items similar to what a user rated. All other unrated items have the
+    global mean as prediction, so of those only the n smallest ids can matter, and only to users with fewer than n
+    candidates above the mean. They are read off the gaps between the positions of a user's rated items and
+    candidates in the list of all items. Predictions are rounded to ``digits`` before they are ranked.
+    """
+    mean = ratings.agg(F.avg(F.when(F.col("rating") > 0, F.col("rating")))).first()[0]
+    if mean is None:
+        return ratings.select("user_id", "item_id", F.lit(0.0).alias("prediction"), F.lit(0).alias("rank")).limit(0)
+    means = item_means_zero_filled(ratings)
+    rated = (
+        ratings.filter("rating > 0")
+        .join(means, "item_id")
+        .select("user_id", F.col("item_id").alias("item_j"), (F.col("rating") - F.col("item_mean")).alias("dev"))
+    )
+    sums = (
+        split_join(rated, _positive_sims(sims).filter("item_id <> item_j"), ["item_j"], ["user_id"], ["item_id"])
+        .groupBy("user_id", "item_id")
+        .agg(F.sum(F.col("sim") * F.col("dev")).alias("num"), F.sum("sim").alias("ws"))
+        .join(ratings.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    )
+    guess = F.col("item_mean") + F.col("num") / F.col("ws")
+    found = cut_lineage(sums.join(means, "item_id").select("user_id", "item_id", F.round(guess, digits).alias("prediction")))
+    rest = F.round(F.lit(float(mean)), digits)
+    enough = found.filter(F.col("prediction") > rest).groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n)
+    short = ratings.select("user_id").distinct().join(enough, "user_id", "left_anti")
+    known = ratings.select("user_id", "item_id").unionByName(found.select("user_id", "item_id")).distinct()
+    fill = smallest_missing(known.join(short, "user_id", "left_semi"), ratings.select("item_id").distinct(), n)
+    return top_n_per_user(found.unionByName(fill.withColumn("prediction", rest)), n)
+
+
+def smallest_missing(known: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """(user_id, item_id): for each user of ``known`` the n smallest of the distinct ``items`` it does not hold.
+
+    Among sorted positions, a gap before the i-th known one has as many missing positions before it as its start
+    exceeds i; only gaps with fewer than n before them are opened, so a user gives n rows at most.
+    """
+    items = cut_lineage(items)
+    placed = cut_lineage(grouped_index(items, [], range_bucket(items, "item_id"), [F.col("item_id")], "pos"))
+    end = placed.count()
+    held = split_join(known, placed, ["item_id"], ["user_id"], ["pos"]).select("user_id", "pos")
+    held = held.unionByName(known.select("user_id").distinct().withColumn("pos", F.lit(end).cast("long")))
+    w = W.partitionBy("user_id").orderBy("pos")
+    start = F.coalesce(F.lag("pos").over(w) + 1, F.lit(0))
+    gaps = held.select("user_id", start.alias("start"), F.col("pos").alias("stop"), (start - F.row_number().over(w) + 1).alias("before"))
+    gaps = gaps.filter((F.col("start") < F.col("stop")) & (F.col("before") < n))
+    last = F.least(F.col("stop"), F.col("start") + n - F.col("before")) - 1
+    missing = gaps.select("user_id", F.explode(F.sequence("start", last)).alias("pos"))
+    return split_join(missing, placed, ["pos"], ["user_id"], ["item_id"]).select("user_id", "item_id")
+
+
 def top_n_lists(predictions: DataFrame, n: int = 10) -> DataFrame:
     """(user_id, items): the ordered item ids; a list holds n at most."""
-    top = top_n_per_user(predictions, n)
+    return ranked_lists(top_n_per_user(predictions, n))
+
+
+def ranked_lists(top: DataFrame) -> DataFrame:
+    """(user_id, items) from ranked rows."""
     ranked = F.array_sort(F.collect_list(F.struct("rank", "item_id")))
     return top.groupBy("user_id").agg(F.transform(ranked, lambda x: x["item_id"]).alias("items"))
 
@@ -146,13 +204,33 @@ def als_fit_predict(train: DataFrame, test: DataFrame, **params: float) -> tuple
     return model, pred.withColumn("prediction", F.col("prediction").cast("double"))
 
 
-def als_recommend_top_n(model: ALSModel, n: int = 10) -> DataFrame:
-    """(user_id, rank, item_id, prediction) for all users, by blocked factor products."""
-    recs = model.recommendForAllUsers(n)
-    flat = recs.select("user_id", F.posexplode("recommendations").alias("pos", "rec"))
-    return flat.select(
-        "user_id", (F.col("pos") + 1).alias("rank"), F.col("rec.item_id"), F.col("rec.rating").cast("double").alias("prediction")
-    )
+def als_recommend_top_n(model: ALSModel, n: int = 10, rated: DataFrame | None = None) -> DataFrame:
+    """(user_id, rank, item_id, prediction) for all users, by blocked factor products.
+
+    With ``rated`` (user_id, item_id) what a user has rated is left out. A user with c ratings needs n + c items to be
+    sure of n others; users are put into classes by that number's next power of two, so there are few classes, each
+    one asks for no more than twice what it needs, and the rated items leave by an anti-join.
+    """
+
+    def flat(recs: DataFrame) -> DataFrame:
+        return recs.select("user_id", F.inline("recommendations")).select("user_id", "item_id", F.col("rating").cast("double").alias("prediction"))
+
+    if rated is None:
+        return top_n_per_user(flat(model.recommendForAllUsers(n)), n).select("user_id", "rank", "item_id", "prediction")
+    users = model.userFactors.select(F.col("id").alias("user_id"))
+    held = cut_lineage(rated.select(F.col("user_id").cast("int"), F.col("item_id").cast("int")).distinct())
+    need = users.join(held.groupBy("user_id").agg(F.count(F.lit(1)).alias("c")), "user_id", "left")
+    need = cut_lineage(need.select("user_id", F.ceil(F.log2(F.coalesce("c", F.lit(0)) + n)).cast("int").alias("power")))
+    items = model.itemFactors.count()
+    out: DataFrame | None = None
+    for row in need.select("power").distinct().orderBy("power").collect():  # 31 at most, as ids are ints
+        wanted = need.filter(F.col("power") == row["power"]).select("user_id")
+        recs = flat(model.recommendForUserSubset(wanted, min(1 << row["power"], items)))
+        out = recs if out is None else out.unionByName(recs)
+    if out is None:
+        return top_n_per_user(flat(model.recommendForAllUsers(n)), n).select("user_id", "rank", "item_id", "prediction")
+    new = out.join(held, ["user_id", "item_id"], "left_anti")
+    return top_n_per_user(new, n).select("user_id", "rank", "item_id", "prediction")
 
 
 def biased_mf(train: DataFrame, test: DataFrame, n_factors: int = 10, reg: float = 0.6, n_epochs: int = 10, seed: int = 17) -> DataFrame:

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from affinity.functions.columns import words
 from affinity.functions.stemmer import stem
 from affinity.functions.stopwords import ENGLISH
-from affinity.operators.scale import split_join, with_row
+from affinity.operators import cells
+from affinity.operators.scale import with_row
 from affinity.session import cut_lineage
 
 
@@ -94,65 +95,141 @@ def copy_groups(df: DataFrame, key: str, col: str = "tokens") -> DataFrame:
     return docs.join(rep, "sig").select(key, "representative")
 
 
+HEAD = 256  # most frequent terms, whose counts are compared as dense vectors
+
+
 def text_cosine_distance(df: DataFrame, key: str, col: str = "tokens", max_distance: float = 0.5) -> DataFrame:
-    """(key_a, key_b, distance): pairs of different count vectors within a cosine distance, exact.
-
-    Documents with equal vectors are one row (see :func:`copy_groups`). A document's terms are ordered
-    from rare to frequent; its prefix ends where the rest weighs too little to reach the similarity
-    on its own, so a pair in range shares a prefix term (Bayardo et al. 2007). The prefix part of the
-    product comes from a join on those terms. Pairs it cannot lift into range, even with the largest
-    possible rest, go; for the others the few terms behind a prefix are added. The most frequent terms
-    thus never bring documents together, and no pair in range is lost.
+    """(key_a, key_b, distance, pairs): count vectors within a cosine distance, exact.
+
+    Documents with equal vectors are one row, named by their smallest key (see :func:`copy_groups`); ``pairs`` is
+    the number of pairs of documents that a row stands for. Copies of one text are the row (key, key, 0.0).
+
+    Frequent words bring nearly all documents of a language together, so terms are no way to find candidates. Instead
+    the counts of the ``HEAD`` most frequent terms and the norm of all the rest make a short vector whose cosine is an
+    upper bound of the documents' cosine. A tree of cells over these vectors (:mod:`affinity.operators.cells`) leaves
+    the blocks of documents that can hold a pair; in a block the bound picks candidates, and their rare terms,
+    sorted by number, complete the product.
     """
     if not 0 <= max_distance < 1:
         raise ValueError("max_distance must be in [0, 1); at 1 every pair without a common term counts")
-    min_sim = 1.0 - max_distance
-    rows = _prefix_rows(count_vectors(df, key, col).select(F.col(key).alias("id"), "terms"), min_sim)
-    pre = rows.filter("in_prefix")
-
-    def side(r: DataFrame, s: str, *cols: str) -> DataFrame:
-        return r.select(F.col("id").alias(f"_{s}"), "term", *[F.col(c).alias(f"{c}_{s}") for c in cols])
-
-    def weights(s: str) -> DataFrame:
-        one = rows.groupBy("id").agg(F.max("sq").alias(f"sq_{s}"), F.max("rest_sq").alias(f"rest_sq_{s}"))
-        return one.withColumnRenamed("id", f"_{s}")
-
-    met = split_join(side(pre, "a", "tf"), side(pre, "b", "tf"), ["term"], ["_a"], ["_b"], self_join=True)
-    part = met.filter("_a < _b").groupBy("_a", "_b").agg(F.sum(F.col("tf_a") * F.col("tf_b")).alias("dot"))
-    part = part.join(weights("a"), "_a").join(weights("b"), "_b")
-    norms = F.sqrt(F.col("sq_a").cast("double") * F.col("sq_b"))
-    most = F.sqrt(F.greatest(F.col("rest_sq_a").cast("double") * F.col("sq_b"), F.col("sq_a").cast("double") * F.col("rest_sq_b")))
-    open_pairs = cut_lineage(
-        part.filter(F.col("dot") + most >= F.lit(min_sim * (1 - 1e-9)) * norms).select("_a", "_b", "dot", norms.alias("norms"))
-    )
-    tail = rows.filter("NOT in_prefix")
-    ids = open_pairs.select("_a", "_b")
-    # terms behind a's prefix meet all of b; terms behind b's prefix meet only a's prefix
-    rest_a = ids.join(side(tail, "a", "tf"), "_a").join(side(rows, "b", "tf"), ["_b", "term"])
-    rest_b = ids.join(side(tail, "b", "tf"), "_b").join(side(pre, "a", "tf"), ["_a", "term"])
-    prod = (F.col("tf_a") * F.col("tf_b")).alias("x")
-    rest = rest_a.select("_a", "_b", prod).unionByName(rest_b.select("_a", "_b", prod)).groupBy("_a", "_b").agg(F.sum("x").alias("x"))
-    dot = F.col("dot") + F.coalesce("x", F.lit(0))
-    return (
-        open_pairs.join(rest, ["_a", "_b"], "left")
-        .select(F.col("_a").alias(f"{key}_a"), F.col("_b").alias(f"{key}_b"), (1 - dot / F.col("norms")).alias("distance"))
-        .filter(F.col("distance") <= F.lit(max_distance))
+    rows = _short_vectors(count_vectors(df, key, col), key)
+    pair = F.struct(F.lit(0).cast("long").alias("dot"), "sq", F.col("sq").alias("sq_b"), "id", F.col("id").alias("id_b"), "copies", F.col("copies").alias("copies_b"))
+    schema = rows.select(pair.alias("p")).select("p.*").schema
+    kind = rows.schema["id"].dataType
+    tree = cells.build(rows)
+    if tree is None:
+        empty = df.sparkSession.createDataFrame([], "distance double, pairs long").withColumn("a", F.lit(None).cast(kind))
+        return empty.select(F.col("a").alias(f"{key}_a"), F.col("a").alias(f"{key}_b"), "distance", "pairs")
+    bound = F.lit((2.0 * max_distance) ** 0.5)  # of the distance of two unit vectors
+    asked = tree.rows.select("sig", "v", "sq", "id", "copies", "tail", "tf", F.col("leaf").alias("own"), bound.alias("bound"))
+    # two leaves meet once
+    asked = cells.visits(asked, tree).filter("own <= leaf").drop("bound")
+    found = cells.products(asked, tree, _close_documents(1.0 - max_distance), schema)
+    distance = 1 - F.col("dot") / F.sqrt(F.col("sq").cast("double") * F.col("sq_b"))
+    close = found.select(
+        F.least("id", "id_b").alias(f"{key}_a"), F.greatest("id", "id_b").alias(f"{key}_b"), distance.alias("distance"), (F.col("copies") * F.col("copies_b")).alias("pairs")
+    ).filter(F.col("distance") <= max_distance)
+    n = F.col("copies")
+    copies = tree.rows.filter("copies > 1").select(
+        F.col("id").alias(f"{key}_a"), F.col("id").alias(f"{key}_b"), F.lit(0.0).alias("distance"), F.floor(n * (n - 1) / 2).cast("long").alias("pairs")
     )
+    return close.unionByName(copies)
+
 
+def _short_vectors(docs: DataFrame, key: str) -> DataFrame:
+    """(sig, id, copies, sq, v, tail, tf): the short unit vector, and the terms outside of it with their counts.
 
-def _prefix_rows(docs: DataFrame, min_sim: float) -> DataFrame:
-    """(id, term, tf, sq, in_prefix, rest_sq): sq is the squared norm of the document, rest_sq that of its
-    terms behind the prefix."""
-    sq = F.aggregate("terms", F.lit(0).cast("bigint"), lambda a, x: a + x["tf"] * x["tf"])
-    flat = docs.select("id", sq.alias("sq"), F.inline("terms"))
-    df_of = flat.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    # the windows hold the terms of one document
-    later = W.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(W.unboundedPreceding, 0)
-    from_here = F.sum(F.col("tf") * F.col("tf")).over(later)
-    rows = flat.join(df_of, "term").withColumn("_w", from_here)
-    rows = rows.withColumn("in_prefix", F.col("_w") >= F.lit(min_sim * min_sim * (1 - 1e-9)) * F.col("sq"))
-    behind = F.max(F.when(~F.col("in_prefix"), F.col("_w"))).over(W.partitionBy("id"))
-    return cut_lineage(rows.select("id", "term", "tf", "sq", "in_prefix", F.coalesce(behind, F.lit(0)).alias("rest_sq")))
+    Terms go by a 64-bit hash. The seed is raised until no two terms of the corpus share one.
+    """
+    docs = cut_lineage(docs.select("sig", F.col(key).alias("id"), "copies", "terms"))
+    vocabulary = cut_lineage(docs.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    seed = 0
+    while True:
+        number = F.xxhash64("term", F.lit(seed))
+        if vocabulary.groupBy(number).count().filter("count > 1").limit(1).count() == 0:
+            break
+        seed += 1
+    top = vocabulary.orderBy(F.desc("df"), "term").limit(HEAD).select(number.alias("h")).collect()
+    head = np.array(sorted(r["h"] for r in top), np.int64)
+
+    numbers = F.transform("terms", lambda t: F.xxhash64(t["term"], F.lit(seed)))
+    sq = F.aggregate("terms", F.lit(0).cast("bigint"), lambda a, t: a + t["tf"] * t["tf"])
+    flat = docs.select("sig", "id", "copies", sq.alias("sq"), numbers.alias("tail"), F.col("terms.tf").alias("tf"))
+
+    def shorten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            v, tail, tf = [], [], []
+            for n, c, total in zip(pdf["tail"], pdf["tf"], pdf["sq"], strict=True):
+                order = np.argsort(n)
+                n, c = n[order], c[order]
+                at = np.minimum(np.searchsorted(head, n), len(head) - 1)
+                known = head[at] == n
+                x = np.zeros(len(head) + 1)
+                x[at[known]] = c[known]
+                x[-1] = np.sqrt(float((c[~known] ** 2).sum()))
+                v.append(x / np.sqrt(float(total)))
+                tail.append(n[~known])
+                tf.append(c[~known])
+            yield pdf.assign(v=v, tail=tail, tf=tf)
+
+    schema = flat.withColumn("v", F.lit(None).cast("array<double>")).schema
+    return cut_lineage(flat.mapInPandas(shorten, schema))
+
+
+def _close_documents(min_sim: float) -> cells.Block:
+    """The pairs of a block with a cosine of ``min_sim`` or a little less, with their integer product."""
+
+    def flat(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n = rows["tail"].map(len).to_numpy(np.int64)
+        if not n.sum():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return np.concatenate(rows["tail"].to_list()), np.repeat(np.arange(len(rows)), n), np.concatenate(rows["tf"].to_list()).astype(np.float64)
+
+    def short(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        norm = np.sqrt(rows["sq"].to_numpy(np.float64))
+        x = cells.matrix(rows["v"]) * norm[:, None]
+        return np.rint(x[:, :-1]), x[:, -1], norm  # counts are whole numbers
+
+    def block(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        home = q["own"].to_numpy() == q["leaf"].to_numpy()
+        head_b, rest_b, norm_b = short(b)
+        terms, row_b, tf_b = flat(b)
+        order = np.argsort(terms, kind="stable")
+        terms, row_b, tf_b = terms[order], row_b[order], tf_b[order]
+        ids, ids_b = q["id"].to_numpy(), b["id"].to_numpy()
+        out = []
+        for s in range(0, len(q), 256):
+            part = q.iloc[s : s + 256]
+            head, rest, norm = short(part)
+            dot = head @ head_b.T
+            need = min_sim * (1 - 1e-9) * norm[:, None] * norm_b[None, :]
+            maybe = dot + rest[:, None] * rest_b[None, :] * (1 + 1e-9) >= need
+            maybe &= (ids[s : s + 256, None] < ids_b[None, :]) | ~home[s : s + 256, None]
+            rows = np.flatnonzero(maybe.any(axis=1))
+            if not len(rows):
+                continue
+            dot, maybe, need = dot[rows], maybe[rows], need[rows]
+            t, r, c = flat(part.iloc[rows])
+            lo, hi = np.searchsorted(terms, t, "left"), np.searchsorted(terms, t, "right")
+            n = hi - lo
+            # one slot for each entry of a query that meets an entry of the base
+            at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            slot = np.repeat(r, n) * len(b) + row_b[at]
+            dot += np.bincount(slot, np.repeat(c, n) * tf_b[at], dot.size).reshape(dot.shape)
+            i, j = np.nonzero(maybe & (dot >= need))
+            a = part.iloc[rows[i]]
+            o = b.iloc[j]
+            out.append(
+                pd.DataFrame(
+                    {
+                        "dot": np.rint(dot[i, j]).astype(np.int64), "sq": a["sq"].to_numpy(), "sq_b": o["sq"].to_numpy(), "id": a["id"].to_numpy(),
+                        "id_b": o["id"].to_numpy(), "copies": a["copies"].to_numpy(), "copies_b": o["copies"].to_numpy(),
+                    }
+                )
+            )
+        return pd.concat(out) if out else pd.DataFrame()
+
+    return block
 
 
 def word2vec(size: int = 100, min_count: int = 2, max_iter: int = 1, seed: int = 17, partitions: int = 1, col: str = "tokens", out: str = "docvec") -> Word2Vec:

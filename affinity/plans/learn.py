@@ -302,7 +302,13 @@ def knn_l2_exact_self(spark, sf):
 
 @query("knn_l2_approx")
 def knn_l2_approx(spark, sf):
-    return V.knn_l2_approx(T.table(spark, sf, "embeddings"), "vec_id", "embedding", 1.2)
+    """Three neighbours of every vector, rounded like the exact search."""
+    return _six(V.knn_l2_approx(T.table(spark, sf, "embeddings"), "vec_id", "embedding", 3), "dist")
+
+
+@query("near_pairs_l2")
+def near_pairs_l2(spark, sf):
+    return V.near_pairs_l2(T.table(spark, sf, "embeddings"), "vec_id", "embedding", 1.2)
 
 
 COS3 = ", ".join(f"(SELECT v FROM e WHERE vec_id = {i}) AS q{i}" for i in (0, 1, 2))
@@ -393,11 +399,13 @@ def tagged_documents(spark, sf):
     "text_cosine_distance",
     f"""WITH {TOKENS}, tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM toks) GROUP BY ALL),
     sig AS (SELECT doc_id, md5(string_agg(term || ':' || tf, ' ' ORDER BY term)) AS sig, sum(tf * tf) AS sq FROM tf GROUP BY 1),
-    rep AS (SELECT min(doc_id) AS doc_id, any_value(sq) AS sq FROM sig GROUP BY sig.sig),
-    t AS (SELECT doc_id, term, tf, sq FROM tf JOIN rep USING (doc_id)),
-    dots AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, sum(a.tf * b.tf) / sqrt(CAST(any_value(a.sq) AS DOUBLE) * any_value(b.sq)) AS sim
+    rep AS (SELECT min(doc_id) AS doc_id, any_value(sq) AS sq, count(*) AS copies FROM sig GROUP BY sig.sig),
+    t AS (SELECT doc_id, term, tf, sq, copies FROM tf JOIN rep USING (doc_id)),
+    dots AS (SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, sum(a.tf * b.tf) / sqrt(CAST(any_value(a.sq) AS DOUBLE) * any_value(b.sq)) AS sim,
+        any_value(a.copies) * any_value(b.copies) AS pairs
       FROM t a JOIN t b ON a.term = b.term AND a.doc_id < b.doc_id GROUP BY 1, 2)
-    SELECT doc_id_a, doc_id_b, {s6("1 - sim")} AS distance FROM dots WHERE 1 - sim <= 0.2""",
+    SELECT doc_id_a, doc_id_b, {s6("1 - sim")} AS distance, pairs FROM dots WHERE 1 - sim <= 0.2
+    UNION ALL SELECT doc_id, doc_id, 0.0::DOUBLE, copies * (copies - 1) // 2 FROM rep WHERE copies > 1""",
 )
 def text_cosine_distance(spark, sf):
     toks = cut_lineage(_tokens(spark, sf))

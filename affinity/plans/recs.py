@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from affinity.operators import baseline as B
@@ -181,6 +182,11 @@ def _centered(spark, sf):
     return _six(preds, "prediction")
 
 
+def _centered_top_n(spark, sf):
+    r = cut_lineage(T.brand_ratings(spark, sf))
+    return _six(P.knn_centered_top_n(r, S.item_pearson_zero_filled(r), 10), "prediction")
+
+
 @query("knn_centered_predict", f"WITH {CENTERED} SELECT * FROM preds")
 def knn_centered_predict(spark, sf):
     return _centered(spark, sf)
@@ -191,7 +197,7 @@ def knn_centered_predict(spark, sf):
     f"WITH {CENTERED} SELECT user_id, item_id, prediction, CAST(row_number() OVER w AS INTEGER) AS rank FROM preds WINDOW w AS (PARTITION BY user_id ORDER BY prediction DESC, item_id) QUALIFY row_number() OVER w <= 10",
 )
 def top_n_per_user(spark, sf):
-    return P.top_n_per_user(_centered(spark, sf), 10)
+    return _centered_top_n(spark, sf)
 
 
 @query(
@@ -200,7 +206,7 @@ def top_n_per_user(spark, sf):
     SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY rank) AS items FROM t WHERE rank <= 10 GROUP BY user_id""",
 )
 def top_n_lists(spark, sf):
-    lists = P.top_n_lists(_centered(spark, sf), 10)
+    lists = P.ranked_lists(_centered_top_n(spark, sf))
     return lists.select("user_id", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
 
 
@@ -308,7 +314,26 @@ def als_grid(spark, sf):
 
 @query("als_recommend_top_n")
 def als_recommend_top_n(spark, sf):
-    return P.als_recommend_top_n(P.als().fit(T.ratings(spark, sf)), 10)
+    r = cut_lineage(T.ratings(spark, sf))
+    return P.als_recommend_top_n(P.als().fit(r), 10, r)
+
+
+@query(
+    "als_top_n_facts",
+    f"""WITH {RATINGS}, m AS (SELECT count(DISTINCT item_id) AS m FROM ratings)
+    SELECT user_id, least(10, any_value(m) - count(*)) AS n, CAST(least(10, any_value(m) - count(*)) AS BIGINT) AS last_rank,
+           CAST(0 AS BIGINT) AS n_rated, CAST(0 AS BIGINT) AS n_rising FROM ratings, m GROUP BY 1""",
+)
+def als_top_n_facts(spark, sf):
+    """What must hold whatever the factors are: ten items or all that are left, none rated, by falling prediction."""
+    r = cut_lineage(T.ratings(spark, sf))
+    top = P.als_recommend_top_n(P.als().fit(r), 10, r).withColumn("user_id", F.col("user_id").cast("bigint"))
+    known = r.select("user_id", F.col("item_id").cast("int").alias("item_id"), F.lit(1).alias("known"))
+    before = F.lag("prediction").over(W.partitionBy("user_id").orderBy("rank"))
+    top = top.join(known, ["user_id", "item_id"], "left").withColumn("rising", F.coalesce((F.col("prediction") > before).cast("int"), F.lit(0)))
+    return top.groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max("rank").cast("bigint").alias("last_rank"), F.count("known").alias("n_rated"), F.sum("rising").alias("n_rising")
+    )
 
 
 @query("als_ranking_auc")

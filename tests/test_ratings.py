@@ -132,6 +132,46 @@ def test_auc_without_the_pair_product(spark):
     assert M.mean_auc(counts).first()["mean_auc"] == pytest.approx(np.mean([c / t for t, c in want.values()]))
 
 
+@pytest.mark.parametrize("n", [1, 3, 40])
+def test_top_n_from_similarities_equals_top_n_of_all_unrated_pairs(toy, skewed, n):
+    for ratings in (toy, skewed):
+        sims = S.item_pearson_zero_filled(ratings)
+        all_pairs = P.knn_centered_predict(ratings, sims, J.anti_testset(ratings)).withColumn("prediction", F.round("prediction", 6))
+        want = rows(P.top_n_per_user(all_pairs, n).select("user_id", "item_id", "prediction", "rank"))
+        assert rows(P.knn_centered_top_n(ratings, sims, n).select("user_id", "item_id", "prediction", "rank")) == want
+    none = toy.limit(0)
+    assert P.knn_centered_top_n(none, S.item_pearson_zero_filled(toy).limit(0), n).count() == 0
+
+
+def test_smallest_missing_reads_the_gaps(spark):
+    rng = np.random.default_rng(4)
+    items = sorted(rng.choice(1000, 40, replace=False).tolist())
+    held = {1: items[:], 2: items[3:], 3: items[::2], 4: items[:35], 5: [items[39]], 6: rng.choice(items, 20, replace=False).tolist()}
+    known = spark.createDataFrame([(u, i) for u, ids in held.items() for i in ids], "user_id bigint, item_id bigint")
+    table = spark.createDataFrame([(i,) for i in items], "item_id bigint")
+    for n in (1, 4, 100):
+        want = [(u, i) for u, ids in held.items() for i in [i for i in items if i not in ids][:n]]
+        assert rows(P.smallest_missing(known, table, n)) == sorted(want)
+
+
+def test_als_recommends_unrated_items_only(skewed):
+    model = P.als(rank=3, max_iter=3).fit(skewed)
+    rated = {(r["user_id"], r["item_id"]) for r in skewed.collect()}
+    per = {}
+    for r in P.als_recommend_top_n(model, 7, skewed).collect():
+        assert (r["user_id"], r["item_id"]) not in rated
+        per.setdefault(r["user_id"], []).append((r["rank"], r["prediction"], r["item_id"]))
+    users, items = {u for u, _ in rated}, {i for _, i in rated}
+    scores = {(r["user_id"], r["item_id"]): r["prediction"] for r in model.transform(J.anti_testset(skewed)).collect()}
+    for u in users:
+        left = items - {i for v, i in rated if v == u}
+        got = sorted(per.get(u, []))
+        assert [r for r, _, _ in got] == list(range(1, min(7, len(left)) + 1))
+        best = sorted((scores[u, i] for i in left), reverse=True)[:7]
+        assert [p for _, p, _ in got] == pytest.approx(best, abs=1e-5)
+    assert {r["user_id"] for r in P.als_recommend_top_n(model, 2).collect()} == users
+
+
 def test_top_n(toy):
     preds = toy.withColumn("prediction", F.col("rating"))
     got = {x["user_id"]: x["items"] for x in P.top_n_lists(preds, 2).collect()}

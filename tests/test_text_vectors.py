@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from affinity.functions.stemmer import stem
+from affinity.operators import cells
 from affinity.operators import text as X
 from affinity.operators import vectors as V
 
@@ -70,8 +71,13 @@ def test_text_distance_is_exact(spark, limit):
         if dot and d <= limit:
             want[a, b] = d
     df = spark.createDataFrame(data, "id bigint, tokens array<string>")
-    got = {(r["id_a"], r["id_b"]): r["distance"] for r in X.text_cosine_distance(df, "id", max_distance=limit).collect()}
+    out = X.text_cosine_distance(df, "id", max_distance=limit).collect()
+    got = {(r["id_a"], r["id_b"]): r["distance"] for r in out if r["id_a"] != r["id_b"]}
     assert got == pytest.approx(want)
+    # every pair of documents counts once, copies among themselves too
+    copies = Counter(first[tuple(sorted(Counter(toks).items()))] for _, toks in data)
+    pairs = {(r["id_a"], r["id_b"]): r["pairs"] for r in out}
+    assert pairs == {(a, b): copies[a] * copies[b] for a, b in want} | {(a, a): n * (n - 1) // 2 for a, n in copies.items() if n > 1}
     groups = dict(rows(X.copy_groups(df, "id")))
     assert {groups[100 + i] for i in range(30)} == {3}
 
@@ -94,7 +100,7 @@ def test_knn_is_exact_with_copies_cells_and_chunks(spark, points, k, self_):
         order = sorted((d[i, j], j) for j in range(len(m)) if self_ or j != i)[:k]
         want[i] = [j for _, j in order]
     df = spark.createDataFrame(points, "id bigint, v array<float>")
-    got = V.knn_l2_exact(df, "id", "v", k, self_, pivots=12, cell=10, chunk=20)
+    got = V.knn_l2_exact(df, "id", "v", k, self_, cell=10)
     lists = {}
     for r in sorted(got.collect(), key=lambda r: (r["id"], r["rank"])):
         lists.setdefault(r["id"], []).append(r["neighbor"])
@@ -138,7 +144,7 @@ def test_lsh_finds_most_close_pairs(spark, points):
     m = np.array([p for i, p in points if i < 150])
     d = np.sqrt(((m[:, None, :] - m[None, :, :]) ** 2).sum(axis=2))
     want = {(i, j) for i, j in combinations(range(150), 2) if d[i, j] < 0.5}
-    got = {(r["id_a"], r["id_b"]) for r in V.knn_l2_approx(df, "id", "v", 0.5, bucket=4.0, tables=6).collect()}
+    got = {(r["id_a"], r["id_b"]) for r in V.near_pairs_l2(df, "id", "v", 0.5, bucket=4.0, tables=6).collect()}
     assert got <= want and len(got) >= 0.9 * len(want)
 
 
@@ -153,3 +159,29 @@ def test_word_and_document_vectors(spark):
     assert X.find_synonyms(model, "red", 2).count() == 2
     both = X.concat_embeddings(X.doc_vectors(model, docs), X.idf_doc_vectors(model, docs, "id").withColumnRenamed("docvec", "o"), "id", "docvec", "o")
     assert both.select(F.size("embedding")).distinct().collect()[0][0] == 8 and both.count() == 30
+
+
+def test_visits_of_the_neighbour_search_do_not_grow_with_the_table(spark):
+    rng = np.random.default_rng(11)
+    visited = []
+    for n in (1500, 3000):
+        pts = [(f"{i:05d}", p, [i]) for i, p in enumerate(rng.normal(size=(n, 2)).tolist())]
+        df = spark.createDataFrame(pts, "sig string, v array<double>, members array<bigint>").cache()
+        tree = cells.build(df, cell=50)
+        met = V._in_reach(tree, V._at_home(tree, 4), 4).select("sig", "leaf").unionByName(tree.rows.select("sig", "leaf"))
+        visited.append(met.join(tree.leaves.select("leaf", "n"), "leaf").agg(F.sum("n")).first()[0] / n)
+    assert visited[1] < 1.25 * visited[0] and visited[1] < 500
+
+
+def test_approximate_neighbours_have_k_rows_and_high_recall(spark):
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(12, 16)) * 2
+    pts = [(i, (centres[i % 12] + rng.normal(size=16) * 0.4).tolist()) for i in range(1200)]
+    pts += [(1200 + i, pts[7][1]) for i in range(100)]
+    df = spark.createDataFrame(pts, "id bigint, v array<double>").cache()
+    exact = {(r["id"], r["rank"]): r["dist"] for r in V.knn_l2_exact(df, "id", "v", 5, cell=100).collect()}
+    got = V.knn_l2_approx(df, "id", "v", 5, cell=60, probes=6).collect()
+    assert Counter(r["id"] for r in got) == {i: 5 for i, _ in pts}
+    same = sum(r["dist"] <= exact[r["id"], r["rank"]] + 1e-9 for r in got)
+    assert same >= 0.95 * len(got)
+    assert all(r["dist"] >= exact[r["id"], r["rank"]] - 1e-9 for r in got)
