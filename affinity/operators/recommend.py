@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -11,9 +13,11 @@ from pyspark.sql import functions as F
 
 from affinity.operators.aggregates import item_means_zero_filled
 from affinity.operators.baseline import baseline_als, baseline_predict, residuals
-from affinity.operators.metrics import errors
+from affinity.operators.joins import counts_left_outer, pos_neg_pairs
+from affinity.operators.metrics import errors, mean_auc
 from affinity.operators.scale import grouped_index, range_bucket, split_join, with_row
 from affinity.operators.similarity import corated_pairs, mirror
+from affinity.operators.split import negative_sample
 from affinity.session import cut_lineage
 
 RATING_SCALE = (1.0, 5.0)
@@ -275,22 +279,97 @@ def grid_search_report(
     return spark.createDataFrame(rows, [*names, "mean_rmse", "mean_mae"]).orderBy("mean_rmse", *names)
 
 
-def als_grid(train: DataFrame, test: DataFrame, ranks: Iterable[int], regs: Iterable[float], alphas: Iterable[float], max_iter: int = 10) -> DataFrame:
-    """RMSE of every (rank, reg, alpha), best first.
+def knn_grid(
+    ratings: DataFrame, measures: dict[str, Callable[[DataFrame], DataFrame]], ks: Iterable[int] = range(2, 40), folds: int = 10, fold: str = "fold"
+) -> DataFrame:
+    """(sim, k, mean_rmse, mean_mae) of :func:`knn_basic_predict` for every measure and k, over all folds.
+
+    The folds go through each measure side by side: ids are numbered apart by fold, so no pair crosses two folds
+    (a measure must be a sum over pairs, without figures of the whole table). Neighbours are ranked once, and running
+    sums over their rank give the prediction of every k; a target with fewer neighbours keeps its last one.
+    """
+    ks = sorted(set(ks))
+    most = ks[-1]
+
+    def apart(df: DataFrame) -> DataFrame:
+        both = [(F.col(c) * folds + F.col(fold)).alias(c) for c in ("user_id", "item_id")]
+        return df.select(F.col(fold).cast("int").alias("fold"), *both, "rating")
+
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col(fold))
+    train = cut_lineage(apart(ratings.withColumn(fold, F.explode(others))))
+    test = cut_lineage(apart(ratings))
+    means = train.groupBy("fold").agg(F.avg(F.when(F.col("rating") > 0, F.col("rating"))).alias("g"))
+    rated = train.select("user_id", F.col("item_id").alias("item_j"), F.col("rating").alias("r"))
+    w = W.partitionBy("user_id", "item_id").orderBy(F.col("sim").desc(), "item_j")
+    so_far = w.rowsBetween(W.unboundedPreceding, 0)
+    all_ks = F.array(*[F.lit(k) for k in ks])
+    out: DataFrame | None = None
+    for name, measure in measures.items():
+        near = _rated_neighbors(test, rated).join(_positive_sims(measure(train.drop("fold"))), ["item_id", "item_j"])
+        near = near.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most)
+        guess = F.sum(F.col("sim") * F.col("r")).over(so_far) / F.sum("sim").over(so_far)
+        near = near.select("user_id", "item_id", "k", guess.alias("p"), F.lead("k").over(w).isNull().alias("last"))
+        covers = F.filter(all_ks, lambda k: (k == F.col("k")) | (F.col("last") & (k > F.col("k"))))
+        each = near.select("user_id", "item_id", "p", F.explode(covers).alias("k"))
+        full = test.select("*", F.explode(all_ks).alias("k")).join(each, ["user_id", "item_id", "k"], "left").join(F.broadcast(means), "fold")
+        e = F.coalesce("p", "g") - F.col("rating")
+        per = full.groupBy("fold", "k").agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
+        mean = per.groupBy("k").agg(F.avg("rmse").alias("mean_rmse"), F.avg("mae").alias("mean_mae"))
+        rows = cut_lineage(mean.select(F.lit(name).alias("sim"), "k", "mean_rmse", "mean_mae"))
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        raise ValueError("the grid has no measure")
+    return out.orderBy("mean_rmse", "sim", "k")
+
+
+def als_grid(
+    train: DataFrame,
+    test: DataFrame,
+    ranks: Iterable[int] = range(2, 16),
+    regs: Iterable[float] = (1.0, 0.025, 0.001),
+    alphas: Iterable[float] | None = range(1, 11),
+    max_iter: int = 10,
+    threads: int = 4,
+    blocks: int = 10,
+) -> DataFrame:
+    """(rank, reg, alpha, rmse, mae) of a fit for every setting, best first; ties go to the smaller setting.
 
-    Train and test are kept while the grid runs; each fit leaves one number on the driver. Alpha
-    weighs implicit preferences only, so explicit fits share one run for all alphas.
+    With ``alphas`` the fits are implicit, and each alpha is a fit of its own; with None they are explicit, and there
+    is no column alpha. Both tables are written once; ``threads`` fits run side by side, so that the cluster is busy
+    although one fit has many short stages. Each fit leaves two numbers on the driver.
     """
-    spark, rows = train.sparkSession, []
-    alphas = list(alphas)
-    train, test = train.persist(), test.persist()
-    try:
-        for rank in ranks:
-            for reg in regs:
-                _, pred = als_fit_predict(train, test, rank=rank, reg=reg, max_iter=max_iter)
-                e = errors(pred).first()
-                rows += [(rank, float(reg), float(a), e["rmse"], e["mae"]) for a in alphas]
-    finally:
-        train.unpersist()
-        test.unpersist()
-    return spark.createDataFrame(rows, "rank int, reg double, alpha double, rmse double, mae double").orderBy("rmse", "rank", "reg", "alpha")
+    spark = train.sparkSession
+    train, test = cut_lineage(train), cut_lineage(test)
+    names = ["rank", "reg"] if alphas is None else ["rank", "reg", "alpha"]
+    settings = [(int(r), float(g), *a) for r in ranks for g in regs for a in ([()] if alphas is None else [(float(x),) for x in alphas])]
+
+    def run(setting: tuple) -> tuple:
+        model = als(**dict(zip(names, setting, strict=True)), max_iter=max_iter, implicit=alphas is not None)
+        fit = model.setNumBlocks(blocks).fit(train)
+        e = errors(fit.transform(test)).first()
+        return (*setting, e["rmse"], e["mae"])
+
+    with ThreadPoolExecutor(threads) as pool:
+        # job groups and local properties of the session go with each thread
+        rows = list(pool.map(inheritable_thread_target(spark)(run), settings))
+    kinds = ["rank int", "reg double", "alpha double"][: len(names)]
+    return spark.createDataFrame(rows, ", ".join([*kinds, "rmse double", "mae double"])).orderBy("rmse", *names)
+
+
+def als_best(ratings: DataFrame, train: DataFrame, test: DataFrame, runs: DataFrame, max_iter: int = 10) -> DataFrame:
+    """The best row of :func:`als_grid`, its model fitted again and judged by ranking: (rank, reg, alpha, rmse, auc).
+
+    Per user the held-out items are set against as many sampled items the user has not rated; auc is the mean share
+    of pairs in which the held-out item scores higher.
+    """
+    best = runs.limit(1).first()
+    implicit = "alpha" in best
+    params = {"alpha": best["alpha"]} if implicit else {}
+    model, pos = als_fit_predict(train, test, rank=best["rank"], reg=best["reg"], max_iter=max_iter, implicit=implicit, **params)
+    neg = model.transform(negative_sample(ratings, like=test)).withColumn("prediction", F.col("prediction").cast("double"))
+    auc = mean_auc(counts_left_outer(pos_neg_pairs(pos, neg))).first()
+    names = [c for c in runs.columns if c != "mae"]
+    kinds = ", ".join(f"{c} {t}" for c, t in runs.dtypes if c != "mae")
+    return ratings.sparkSession.createDataFrame([(*[best[c] for c in names], auc["mean_auc"])], f"{kinds}, auc double")
+
+

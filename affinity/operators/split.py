@@ -67,11 +67,12 @@ def coprime_step(n: int) -> int:
     return s
 
 
-def negative_sample(ratings: DataFrame, items: DataFrame | None = None) -> DataFrame:
+def negative_sample(ratings: DataFrame, items: DataFrame | None = None, like: DataFrame | None = None) -> DataFrame:
     """(user_id, item_id): per user as many unrated items as rated ones, fewer only if none are left.
 
-    Each user walks the item index from a hash-given start by a step that visits every item once, so
-    2 * |rated| tries always suffice and no item repeats. Tries are made in pieces of STEP, so a
+    With ``like`` as many as the user has items there, say in a held-out part of the ratings. Each user walks the
+    item index from a hash-given start by a step that visits every item once, so as many tries as items rated
+    and wanted together always suffice and no item repeats. Tries are made in pieces of STEP, so a
     user who rated a large share of the items is spread over many tasks.
     ``items`` is an (item_id, idx) map with dense idx; made from the ratings when not given.
     """
@@ -83,7 +84,11 @@ def negative_sample(ratings: DataFrame, items: DataFrame | None = None) -> DataF
         return ratings.select("user_id", "item_id").limit(0)
     step = coprime_step(n_items)
     users = ratings.groupBy("user_id").agg(F.count_distinct("item_id").alias("_p"))
-    users = users.withColumn("_m", F.least(F.lit(n_items).cast("bigint"), 2 * F.col("_p")))
+    users = users.withColumn("_m", 2 * F.col("_p"))
+    if like is not None:
+        wanted = like.groupBy("user_id").agg(F.count_distinct("item_id").alias("_w"))
+        users = users.join(wanted, "user_id").select("user_id", F.col("_w").alias("_p"), (F.col("_p") + F.col("_w")).alias("_m"))
+    users = users.withColumn("_m", F.least(F.lit(n_items).cast("bigint"), "_m"))
     pieces = users.withColumn("_lo", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_m") - 1, F.lit(STEP).cast("bigint"))))
     tries = pieces.repartition("user_id", "_lo").select(
         "user_id",

@@ -293,6 +293,32 @@ def grid_search_report(spark, sf):
     return P.grid_search_report(_folds(spark, sf, 3), grid, make, 3)
 
 
+@query(
+    "knn_grid",
+    f"""WITH {BRAND}, rf AS (SELECT *, {HASH} % 10 AS fold FROM ratings), fs AS (SELECT unnest(range(10)) AS f), ks AS (SELECT unnest(range(2, 40)) AS k),
+    tr AS MATERIALIZED (SELECT f, user_id, item_id, rating FROM rf, fs WHERE fold <> f), g AS (SELECT f, avg(rating) FILTER (rating > 0) AS g FROM tr GROUP BY 1),
+    pairs AS MATERIALIZED (SELECT f, a.item_id AS item_i, b.item_id AS item_j, count(*) AS n, sum(a.rating) AS si, sum(b.rating) AS sj,
+      sum(a.rating * a.rating) AS qi, sum(b.rating * b.rating) AS qj, sum(a.rating * b.rating) AS dot FROM tr a JOIN tr b USING (f, user_id) WHERE a.item_id <> b.item_id GROUP BY ALL),
+    sims AS (SELECT 'cosine' AS sim_name, f, item_i, item_j, round(dot / nullif(sqrt(qi * qj), 0), 9) AS sim FROM pairs
+      UNION ALL SELECT 'pearson', f, item_i, item_j, round((n * dot - si * sj) / sqrt(nullif((n * qi - si * si) * (n * qj - sj * sj), 0)), 9) FROM pairs WHERE n >= 2),
+    near AS (SELECT sim_name, t.fold AS f, t.user_id, t.item_id, sim, r.rating, row_number() OVER (PARTITION BY sim_name, t.user_id, t.item_id ORDER BY sim DESC, r.item_id) AS i
+      FROM rf t JOIN tr r ON r.f = t.fold AND r.user_id = t.user_id AND r.item_id <> t.item_id JOIN sims s ON s.f = t.fold AND s.item_i = t.item_id AND s.item_j = r.item_id AND sim > 0),
+    acc AS (SELECT sim_name, f, user_id, item_id, k, sum(sim * rating) / sum(sim) AS p FROM near JOIN ks ON i <= k GROUP BY ALL),
+    e AS (SELECT n.sim_name, t.fold AS f, ks.k, coalesce(p, g) - t.rating AS e FROM rf t CROSS JOIN ks CROSS JOIN (SELECT DISTINCT sim_name FROM sims) n JOIN g ON g.f = t.fold
+      LEFT JOIN acc a ON a.sim_name = n.sim_name AND a.user_id = t.user_id AND a.item_id = t.item_id AND a.k = ks.k),
+    per AS (SELECT sim_name, f, k, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae FROM e GROUP BY ALL)
+    SELECT sim_name AS sim, CAST(k AS INTEGER) AS k, {s6("avg(rmse)")} AS mean_rmse, {s6("avg(mae)")} AS mean_mae FROM per GROUP BY ALL""",
+)
+def knn_grid(spark, sf):
+    """Item kNN for k from 2 to 39 and two measures, ten folds."""
+
+    def rounded(measure):
+        return lambda train: measure(train).withColumn("sim", F.round("sim", 9))
+
+    measures = {"cosine": rounded(S.item_cosine_corated), "pearson": rounded(S.item_pearson_corated)}
+    return _six(P.knn_grid(_folds(spark, sf, 10), measures), "mean_rmse", "mean_mae")
+
+
 # ---------------------------------------------------------------- factor models
 
 
@@ -308,8 +334,17 @@ def als_fit_predict(spark, sf):
 
 @query("als_grid")
 def als_grid(spark, sf):
+    """Implicit fits over rank, penalty and alpha; the operator's defaults are the full grid."""
     train, test = _train_test(spark, sf)
-    return P.als_grid(train, test, [2, 5], [1.0, 0.025], [1, 10], max_iter=5)
+    return P.als_grid(train, test, [2, 5, 10, 15], [1.0, 0.025, 0.001], [1, 5, 10], threads=8, blocks=2)
+
+
+@query("als_best")
+def als_best(spark, sf):
+    """The best of a few settings, fitted again and judged by ranking."""
+    r = cut_lineage(T.ratings(spark, sf))
+    train, test = SP.train_test(r, ["user_id", "item_id"], 11)
+    return P.als_best(r, train, test, P.als_grid(train, test, [2, 10], [0.025], [1, 10], threads=8, blocks=2))
 
 
 @query("als_recommend_top_n")

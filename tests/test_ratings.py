@@ -132,6 +132,45 @@ def test_auc_without_the_pair_product(spark):
     assert M.mean_auc(counts).first()["mean_auc"] == pytest.approx(np.mean([c / t for t, c in want.values()]))
 
 
+def test_every_alpha_of_the_als_grid_is_a_fit_of_its_own(skewed):
+    train, test = SP.train_test(skewed, ["user_id", "item_id"], 20)
+    runs = P.als_grid(train, test, [2, 3], [0.1], [1, 40], max_iter=2, blocks=2)
+    got = runs.collect()
+    assert sorted((r["rank"], r["alpha"]) for r in got) == [(2, 1.0), (2, 40.0), (3, 1.0), (3, 40.0)]
+    assert len({r["rmse"] for r in got}) == 4 and [r["rmse"] for r in got] == sorted(r["rmse"] for r in got)
+    alone = P.als_grid(train, test, [2], [0.1], [40], max_iter=2, blocks=2).first()
+    assert alone["rmse"] == pytest.approx(next(r["rmse"] for r in got if (r["rank"], r["alpha"]) == (2, 40.0)))
+    explicit = P.als_grid(train, test, [2], [0.1, 1.0], None, max_iter=2)
+    assert explicit.columns == ["rank", "reg", "rmse", "mae"] and explicit.count() == 2
+    for runs_ in (runs, explicit):
+        best = P.als_best(skewed, train, test, runs_, max_iter=2).collect()
+        assert len(best) == 1 and 0 <= best[0]["auc"] <= 1 and best[0]["rmse"] == runs_.first()["rmse"]
+
+
+def test_negatives_like_a_held_out_part(skewed):
+    _, test = SP.train_test(skewed, ["user_id", "item_id"], 30)
+    got = rows(SP.negative_sample(skewed, like=test))
+    rated, items = {(r["user_id"], r["item_id"]) for r in skewed.collect()}, {r["item_id"] for r in skewed.collect()}
+    wanted, left = defaultdict(int), defaultdict(int)
+    for r in test.collect():
+        wanted[r["user_id"]] += 1
+    for u in wanted:
+        left[u] = len(items) - sum(v == u for v, _ in rated)
+    assert not set(got) & rated and len(set(got)) == len(got)
+    assert all(sum(v == u for v, _ in got) == min(n, left[u]) for u, n in wanted.items())
+
+
+def test_knn_grid_equals_one_cross_validation_per_setting(skewed):
+    folded = SP.kfold_assign(skewed, ["user_id", "item_id"], 3)
+    measures = {"cosine": lambda t: S.item_cosine_corated(t).withColumn("sim", F.round("sim", 9))}
+    got = {r["k"]: (r["mean_rmse"], r["mean_mae"]) for r in P.knn_grid(folded, measures, [2, 3, 30], 3).collect()}
+    for k in (2, 30):
+        scores = P.cross_validate(folded, lambda train, test, k=k: P.knn_basic_predict(train, measures["cosine"](train), test, k), 3)
+        m = P.cross_validation_means(scores).first()
+        assert got[k] == pytest.approx((m["mean_rmse"], m["mean_mae"]))
+    assert set(got) == {2, 3, 30}
+
+
 @pytest.mark.parametrize("n", [1, 3, 40])
 def test_top_n_from_similarities_equals_top_n_of_all_unrated_pairs(toy, skewed, n):
     for ratings in (toy, skewed):
