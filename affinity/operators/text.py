@@ -8,14 +8,14 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affinity.functions.columns import words
 from affinity.functions.stemmer import stem
 from affinity.functions.stopwords import ENGLISH
 from affinity.operators import cells
-from affinity.operators.scale import with_row
+from affinity.operators.scale import split_join, with_row
 from affinity.session import cut_lineage
 
 
@@ -52,17 +52,24 @@ def stem_vocabulary(df: DataFrame, col: str = "tokens") -> DataFrame:
     return terms.select("term", porter("term").alias("stem"))
 
 
+def _list_id(col: str) -> Column:
+    """A digest of a token list; equal lists have equal ones."""
+    return F.sha2(F.to_json(F.array(F.col(col))), 256)
+
+
 def stem_tokens(df: DataFrame, key: str, col: str = "tokens") -> DataFrame:
     """Tokens replaced by their stems, in order.
 
-    Every token travels with its place to the stem table and back, so that a document costs what its
-    tokens cost; the rows of a frequent term are split at run time.
+    Each different token list is stemmed once, so rows may share a ``key``. Every token travels with its place to
+    the stem table and back, so that a list costs what its tokens cost; the rows of a frequent term are split.
     """
-    stems = stem_vocabulary(df, col)
-    each = df.select(key, F.posexplode(col).alias("_p", "term")).join(stems, "term", "left")
-    back = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_p", "stem"))).alias("_s"))
-    out = df.join(back, key, "left")
-    return out.withColumn(col, F.coalesce(F.transform("_s", lambda x: x["stem"]), F.col(col))).drop("_s")
+    rows = df.withColumn("_id", _list_id(col))
+    lists = rows.groupBy("_id").agg(F.any_value(col).alias("_t"))
+    each = lists.select("_id", F.posexplode("_t").alias("_p", "term"))
+    stemmed = split_join(each, stem_vocabulary(df, col), ["term"], ["_id", "_p"], ["stem"])
+    back = stemmed.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("_p", "stem"))).alias("_s"))
+    out = rows.join(back, "_id", "left")
+    return out.withColumn(col, F.coalesce(F.transform("_s", lambda x: x["stem"]), F.col(col))).drop("_s", "_id")
 
 
 def label_text_pairs(df: DataFrame, text: str, label: str) -> DataFrame:

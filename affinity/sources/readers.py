@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,37 +21,47 @@ def read_reviews_json(spark: SparkSession, path: str, schema: str = REVIEW_SCHEM
     return spark.read.schema(schema).json(path)
 
 
-def read_loose_json(spark: SparkSession, path: str, schema: str = REVIEW_SCHEMA, parts: int | None = None) -> DataFrame:
+def read_loose_json(
+    spark: SparkSession, path: str, schema: str = REVIEW_SCHEMA, parts: int | None = None, observation: Observation | None = None
+) -> DataFrame:
     """Lines that are Python dict literals (single quotes, None, True, u'..'), often in one gz file.
 
     The lines are spread first, since gz is a single split. The JVM parses what reads as JSON with
-    loose quotes; only what is left goes to ``ast.literal_eval``, which evaluates literals and
-    nothing else. Lines neither understands keep their text in ``_corrupt``.
+    loose quotes; of the other lines the text goes to ``ast.literal_eval``, which evaluates literals and
+    nothing else, in the same pass. Lines neither understands keep their text in ``_corrupt``. An ``observation``
+    holds the numbers of lines (``lines``) and of those kept as text (``bad``) once the table has been used.
     """
     st = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     full = T.StructType([*st.fields, T.StructField(CORRUPT, T.StringType())])
     lines = spark.read.text(path).filter(F.trim("value") != "")
     lines = lines.repartition(parts or spark.sparkContext.defaultParallelism)
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT, "allowSingleQuotes": "true"}
-    parsed = lines.select("value", F.from_json("value", full, opts).alias("r"))
-    good = parsed.filter(f"r.{CORRUPT} IS NULL").select("r.*")
     names = [f.name for f in st.fields]
-
-    def literal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(line: str) -> tuple:
-            try:
-                d = ast.literal_eval(line)
-                if isinstance(d, dict):
-                    return (*[d.get(n) for n in names], None)
-            except (ValueError, SyntaxError, MemoryError, RecursionError):
-                pass
-            return (*[None] * len(names), line)
-
-        for pdf in batches:
-            yield pd.DataFrame([one(v) for v in pdf["value"]], columns=[*names, CORRUPT])
-
-    rest = parsed.filter(f"r.{CORRUPT} IS NOT NULL").select("value").mapInPandas(literal, full)
-    return good.unionByName(rest)
+    blank = (None,) * len(full)
+
+    def parsed(line: str | None) -> tuple:
+        if line is None:
+            return blank
+        try:
+            d = ast.literal_eval(line)
+            if isinstance(d, dict):
+                return (*[d.get(n) for n in names], None)
+        except (ValueError, SyntaxError, MemoryError, RecursionError):
+            pass
+        return (*blank[:-1], line)
+
+    @F.pandas_udf(full)
+    def literal(text: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parsed(v) for v in text], columns=[*names, CORRUPT], dtype=object)
+
+    rows = lines.select("value", F.from_json("value", full, opts).alias("r"))
+    failed = F.col(f"r.{CORRUPT}").isNotNull()
+    # a line that has been parsed is a null to the fallback
+    rows = rows.select("r", failed.alias("failed"), literal(F.when(failed, F.col("value"))).alias("l"))
+    out = rows.select(*[F.when(F.col("failed"), F.col(f"l.`{n}`")).otherwise(F.col(f"r.`{n}`")).alias(n) for n in full.names])
+    if observation is not None:
+        out = out.observe(observation, F.count(F.lit(1)).alias("lines"), F.count(CORRUPT).alias("bad"))
+    return out
 
 
 def read_ratings_csv(spark: SparkSession, path: str, header: bool = True, schema: str = RATING_SCHEMA) -> DataFrame:

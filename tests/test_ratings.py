@@ -313,6 +313,15 @@ def test_item_means_fall_back_to_the_global_mean(spark):
 def test_cleaning(spark):
     df = spark.createDataFrame([("1", "2", "4.5"), ("x", "3", "?")], "user_id string, item_id string, rating string")
     assert {tuple(r) for r in K.cast_ratings(df).collect()} == {(1, 2, 4.5), (None, 3, None)}
+    big = df.sparkSession.range(5000).selectExpr("id", "id % 1000 AS part", "CAST(id % 7 AS DOUBLE) AS x", "CASE WHEN id % 2 = 0 THEN 'a' END AS s", "map('k', id) AS m")
+    exact = {r["column"]: r for r in K.table_profile(big).collect()}
+    near = {r["column"]: r for r in K.table_profile(big, approximate=True).collect()}
+    assert [exact[c]["distinct_values"] for c in ("id", "part", "x", "s", "m")] == [5000, 1000, 7, 1, None]
+    assert exact["s"]["nulls"] == 2500 and exact["m"]["rows"] == 5000
+    for c, r in near.items():
+        assert (r["type"], r["rows"], r["nulls"]) == (exact[c]["type"], exact[c]["rows"], exact[c]["nulls"])
+        assert r["distinct_values"] == pytest.approx(exact[c]["distinct_values"], rel=0.06) if c != "m" else r["distinct_values"] is None
+    assert "Expand" not in K.table_profile(big)._jdf.queryExecution().optimizedPlan().toString()
     prof = {r["column"]: r for r in K.table_profile(df.withColumn("z", F.lit(None).cast("int"))).collect()}
     assert prof["z"]["nulls"] == 2 and prof["z"]["distinct_values"] == 0 and prof["user_id"]["distinct_values"] == 2
     nested = spark.createDataFrame([("A", (["x"], None)), ("B", None)], "asin string, related struct<also_viewed:array<string>,bought:array<string>>")

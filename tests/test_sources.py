@@ -3,6 +3,7 @@ import gzip
 import numpy as np
 import pytest
 from pyspark.ml.classification import LinearSVCModel
+from pyspark.sql import Observation
 
 from affinity.operators.clean import explode_list_column
 from affinity.operators.joins import viewed_and_bought
@@ -26,6 +27,16 @@ def test_loose_json(spark, tmp_path):
     assert got["D"]["overall"] is None and got["D"]["reviewText"] == "uses A"
     bad = R.read_loose_json(spark, str(path)).filter(f"{R.CORRUPT} IS NOT NULL").collect()
     assert sorted(r[R.CORRUPT] for r in bad) == sorted(lines[3:])
+    seen = Observation()
+    df = R.read_loose_json(spark, str(path), observation=seen)
+    assert len(df.collect()) == 5 and seen.get == {"lines": 5, "bad": 2}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1  # one pass
+    nested = "asin string, related struct<also_viewed: array<string>>"
+    more = tmp_path / "m.txt"
+    more.write_text("{'asin': u'A', 'related': {'also_viewed': ['B', 'C']}}\n{'asin': 'D', 'related': {'also_viewed': []}}\n")
+    got = {r["asin"]: r["related"]["also_viewed"] for r in R.read_loose_json(spark, str(more), nested).collect()}
+    assert got == {"A": ["B", "C"], "D": []}
 
 
 def test_reviews_json(spark, tmp_path):

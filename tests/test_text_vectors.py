@@ -41,6 +41,9 @@ def test_stems(word, want):
 def test_stem_tokens_keeps_order(spark):
     df = spark.createDataFrame([(1, ["running", "cats", "running"]), (2, [])], "id int, tokens array<string>")
     assert rows(X.stem_tokens(df, "id").select("id", "tokens")) == [(1, ["run", "cat", "run"]), (2, [])]
+    shared = spark.createDataFrame([(1, ["cats"]), (1, ["runs", "cats"]), (1, ["cats"]), (None, ["dogs"]), (3, None)], "id bigint, tokens array<string>")
+    got = sorted(((r["id"], r["tokens"]) for r in X.stem_tokens(shared, "id").collect()), key=repr)
+    assert got == sorted([(1, ["cat"]), (1, ["run", "cat"]), (1, ["cat"]), (None, ["dog"]), (3, None)], key=repr)
 
 
 def test_vocabulary(spark):
