@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Word2Vec, Word2VecModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -254,23 +255,50 @@ def find_synonyms(model: Word2VecModel, word: str, n: int = 5) -> DataFrame:
     return model.findSynonyms(word, n)
 
 
-def doc_vectors(model: Word2VecModel, df: DataFrame, out: str = "docvec") -> DataFrame:
-    """Mean of the word vectors of a document, as an array. Works for documents not seen in training."""
-    return model.transform(df).withColumn(out, vector_to_array(out))
+def _mean_vectors(weights: DataFrame, model: Word2VecModel) -> DataFrame:
+    """(_id, mean, known): weighted mean of the word vectors per token list, and the weight of its known words.
+
+    Terms meet the vectors in a join that splits frequent terms, so no task holds the vocabulary; the sums of
+    a list are merged in the aggregation.
+    """
+    vectors = model.getVectors().withColumnRenamed("word", "term")
+    met = split_join(weights.filter("w > 0"), vectors, ["term"], ["_id"], ["term"])
+    per = met.groupBy("_id").agg(Summarizer.mean(F.col("vector"), F.col("w")).alias("_m"), F.sum("w").alias("known"))
+    return per.select("_id", vector_to_array("_m").alias("mean"), "known")
+
+
+def _each_list(df: DataFrame, col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with the id of their token list, and (_id, term, tf) of the different lists."""
+    rows = df.withColumn("_id", _list_id(col))
+    lists = cut_lineage(rows.groupBy("_id").agg(F.any_value(col).alias("_t")))
+    return rows, term_counts(lists, "_id", "_t")
+
+
+def doc_vectors(model: Word2VecModel, df: DataFrame, out: str = "docvec", col: str = "tokens") -> DataFrame:
+    """Mean of the word vectors of a document, as an array; words the model does not know count as zero.
+
+    Works for documents not seen in training. Every row has a vector, zeros if no word is known.
+    """
+    rows, tf = _each_list(df, col)
+    mean = _mean_vectors(tf.withColumn("w", F.col("tf").cast("double")), model)
+    zero = F.array_repeat(F.lit(0.0), model.getVectorSize())
+    share = F.col("known") / F.size(col)
+    full = rows.join(mean, "_id", "left").withColumn(out, F.coalesce(F.transform("mean", lambda x: x * share), zero))
+    return full.drop("_id", "mean", "known")
 
 
 def idf_doc_vectors(model: Word2VecModel, df: DataFrame, key: str, col: str = "tokens", out: str = "docvec") -> DataFrame:
-    """Word vectors weighted by tf * idf and averaged, one value per dimension, by joins and sums."""
-    tf = term_counts(df, key, col)
+    """(key, out): mean of the word vectors weighted by tf * idf over the known words; zeros if there are none."""
+    rows, tf = _each_list(df, col)
+    # a term counts once for each row that has its list
+    copies = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_c"))
     n_docs = df.agg(F.count(F.lit(1)).alias("n_docs"))
-    idf = with_row(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), n_docs)
+    idf = with_row(tf.join(copies, "_id").groupBy("term").agg(F.sum("_c").alias("df")), n_docs)
     idf = idf.select("term", F.log((F.col("n_docs") + 1) / (F.col("df") + 1)).alias("idf"))
-    vec = word_vectors(model).withColumnRenamed("word", "term")
-    w = tf.join(idf, "term").join(vec, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    parts = w.select(key, "w", F.posexplode("vector").alias("d", "x"))
-    dims = parts.groupBy(key, "d").agg((F.sum(F.col("w") * F.col("x")) / F.greatest(F.sum("w"), F.lit(1e-12))).alias("x"))
-    arr = F.array_sort(F.collect_list(F.struct("d", "x")))
-    return dims.groupBy(key).agg(F.transform(arr, lambda s: s["x"]).alias(out))
+    weights = split_join(tf, idf, ["term"], ["_id"], ["term"]).withColumn("w", F.col("tf") * F.col("idf"))
+    mean = _mean_vectors(weights.select("_id", "term", "w"), model)
+    zero = F.array_repeat(F.lit(0.0), model.getVectorSize())
+    return rows.join(mean, "_id", "left").select(key, F.coalesce("mean", zero).alias(out))
 
 
 def concat_embeddings(a: DataFrame, b: DataFrame, key: str, col_a: str, col_b: str, out: str = "embedding") -> DataFrame:

@@ -427,7 +427,7 @@ def _review_tokens(spark, sf):
 
 
 def _w2v(df, passes=1):
-    return X.word2vec(size=32, max_iter=passes, partitions=4).fit(df)
+    return X.word2vec(max_iter=passes, partitions=4).fit(df)
 
 
 @query("word2vec_fit")

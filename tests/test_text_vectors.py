@@ -159,6 +159,14 @@ def test_word_and_document_vectors(spark):
     assert np.allclose(doc["docvec"], np.mean([words[t] for t in doc["tokens"]], axis=0))
     unseen = spark.createDataFrame([(99, ["red", "unheard"])], "id bigint, tokens array<string>")
     assert len(X.doc_vectors(model, unseen).first()["docvec"]) == 4
+    odd = spark.createDataFrame([(1, ["red", "unheard"]), (1, ["red", "unheard"]), (2, []), (3, ["unheard"]), (4, None)], "id bigint, tokens array<string>")
+    got = sorted((r["id"], [round(x, 6) for x in r["docvec"]]) for r in X.doc_vectors(model, odd).collect())
+    half = [round(x / 2, 6) for x in words["red"]]
+    assert got == [(1, half), (1, half), (2, [0.0] * 4), (3, [0.0] * 4), (4, [0.0] * 4)]
+    own = {r["id"]: r["docvec"] for r in model.transform(docs).collect()}
+    assert all(np.allclose(r["docvec"], own[r["id"]].toArray()) for r in X.doc_vectors(model, docs).collect())
+    weighted = {r["id"]: r["docvec"] for r in X.idf_doc_vectors(model, odd, "id").collect()}
+    assert np.allclose(weighted[1], words["red"]) and weighted[3] == [0.0] * 4 and len(weighted) == 4
     assert X.find_synonyms(model, "red", 2).count() == 2
     both = X.concat_embeddings(X.doc_vectors(model, docs), X.idf_doc_vectors(model, docs, "id").withColumnRenamed("docvec", "o"), "id", "docvec", "o")
     assert both.select(F.size("embedding")).distinct().collect()[0][0] == 8 and both.count() == 30
