@@ -132,14 +132,15 @@ def knn_centered_top_n(ratings: DataFrame, sims: DataFrame, n: int = 10, digits:
     mean = ratings.agg(F.avg(F.when(F.col("rating") > 0, F.col("rating")))).first()[0]
     if mean is None:
         return ratings.select("user_id", "item_id", F.lit(0.0).alias("prediction"), F.lit(0).alias("rank")).limit(0)
-    means = item_means_zero_filled(ratings)
+    near = cut_lineage(_positive_sims(sims).filter("item_id <> item_j").select("item_id", "item_j", "sim"))
+    means = cut_lineage(item_means_zero_filled(ratings))
     rated = (
         ratings.filter("rating > 0")
         .join(means, "item_id")
         .select("user_id", F.col("item_id").alias("item_j"), (F.col("rating") - F.col("item_mean")).alias("dev"))
     )
     sums = (
-        split_join(rated, _positive_sims(sims).filter("item_id <> item_j"), ["item_j"], ["user_id"], ["item_id"])
+        split_join(rated, near, ["item_j"], ["user_id"], ["item_id"])
         .groupBy("user_id", "item_id")
         .agg(F.sum(F.col("sim") * F.col("dev")).alias("num"), F.sum("sim").alias("ws"))
         .join(ratings.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
@@ -147,10 +148,15 @@ def knn_centered_top_n(ratings: DataFrame, sims: DataFrame, n: int = 10, digits:
     guess = F.col("item_mean") + F.col("num") / F.col("ws")
     found = cut_lineage(sums.join(means, "item_id").select("user_id", "item_id", F.round(guess, digits).alias("prediction")))
     rest = F.round(F.lit(float(mean)), digits)
-    enough = found.filter(F.col("prediction") > rest).groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= n)
-    short = ratings.select("user_id").distinct().join(enough, "user_id", "left_anti")
+    per = found.groupBy("user_id").agg(F.count_if(F.col("prediction") > rest).alias("_above"), F.count(F.lit(1)).alias("_c"))
+    per = ratings.groupBy("user_id").agg(F.count_distinct("item_id").alias("_r")).join(per, "user_id", "left").fillna(0)
+    # too few candidates, and items left that are neither rated nor candidates
+    short = per.filter((F.col("_above") < n) & (F.col("_r") + F.col("_c") < means.count()))
+    short = cut_lineage(short.select("user_id"))
+    if short.limit(1).count() == 0:
+        return top_n_per_user(found, n)
     known = ratings.select("user_id", "item_id").unionByName(found.select("user_id", "item_id")).distinct()
-    fill = smallest_missing(known.join(short, "user_id", "left_semi"), ratings.select("item_id").distinct(), n)
+    fill = smallest_missing(cut_lineage(known.join(short, "user_id", "left_semi")), ratings.select("item_id").distinct(), n)
     return top_n_per_user(found.unionByName(fill.withColumn("prediction", rest)), n)
 
 
@@ -170,7 +176,7 @@ def smallest_missing(known: DataFrame, items: DataFrame, n: int) -> DataFrame:
     gaps = held.select("user_id", start.alias("start"), F.col("pos").alias("stop"), (start - F.row_number().over(w) + 1).alias("before"))
     gaps = gaps.filter((F.col("start") < F.col("stop")) & (F.col("before") < n))
     last = F.least(F.col("stop"), F.col("start") + n - F.col("before")) - 1
-    missing = gaps.select("user_id", F.explode(F.sequence("start", last)).alias("pos"))
+    missing = cut_lineage(gaps.select("user_id", F.explode(F.sequence("start", last)).alias("pos")))
     return split_join(missing, placed, ["pos"], ["user_id"], ["item_id"]).select("user_id", "item_id")
 
 
