@@ -426,8 +426,8 @@ def _review_tokens(spark, sf):
     return cut_lineage(X.clean_tokens(X.tokenize_words(T.review_texts(spark, sf))).select("doc_id", "label", "tokens"))
 
 
-def _w2v(df, passes=1):
-    return X.word2vec(max_iter=passes, partitions=4).fit(df)
+def _w2v(df, passes=1, size=100):
+    return X.word2vec(size=size, max_iter=passes, partitions=4).fit(df)
 
 
 @query("word2vec_fit")
@@ -463,7 +463,7 @@ def most_similar_docs(spark, sf):
 
 def _doc_features(spark, sf):
     docs = _review_tokens(spark, sf)
-    vecs = X.doc_vectors(_w2v(docs), docs)
+    vecs = X.doc_vectors(_w2v(docs, size=32), docs)  # standard errors need more rows than dimensions
     return cut_lineage(C.with_vector(vecs.withColumn("label", F.col("label").cast("double")), "docvec").select("doc_id", "label", "features"))
 
 
