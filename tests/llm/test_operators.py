@@ -204,6 +204,26 @@ def test_near_duplicates_equal_brute_force(spark, docs, texts, k):
     assert sorted(r.doc_id for r in neardup.deduplicate(both, k).collect()) == sorted({*want.values()})
 
 
+def test_links_and_copies_grow_with_the_group(spark):
+    """Twice the near copies of one text: twice the links and copies, not four times."""
+    base, size = [f"word{j}" for j in range(120)], []
+    for n in (150, 300):
+        rows = []
+        for i in range(n):
+            w = base.copy()
+            for j in range(1 + i % 3):
+                w[(i * 7 + j * 31) % 120] = f"edit{i}_{j}"
+            rows.append((i, " ".join(w)))
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        sigs = neardup.fingerprints(table, 4).selectExpr("doc_id c", "n_shingles n", "bands")
+        links = neardup.confirmed_links(table, sigs, 4, 80).collect()
+        sets = {i: shingles(t, 4) for i, t in rows}
+        assert all(100 * len(sets[r.a] & sets[r.b]) >= 80 * len(sets[r.a] | sets[r.b]) for r in links)
+        assert n - len(set(groups(sets).values())) <= len(links) <= 2 * n
+        size.append(len(links))
+    assert size[1] <= 2.3 * size[0]
+
+
 def test_posterior_bounds():
     least = neardup.least_matches(80)
     assert len(least) == neardup.HASHES // neardup.BATCH and list(least) == sorted(least) and least[-1] < 0.8 * neardup.HASHES
