@@ -67,7 +67,11 @@ def classify(forms: DataFrame) -> DataFrame:
 def scan(files: DataFrame) -> DataFrame:
     """The files (with ``path`` and ``text``) with licence, cosine, origin (own or inherited) and from_dir; text is dropped."""
     keep = [c for c in files.columns if c not in RESULTS and c != "text"]
-    rows = files.select(*keep, "text", F.xxhash64("path", "text").alias("_f"))
+    key = "_f"
+    while key in {c.lower() for c in keep}:
+        key += "_"
+    files = files.select(*keep, "text", F.xxhash64("path", "text").alias(key))
+    rows = files.select("path", "text", F.col(key).alias("_f"))
     cued = rows.filter(F.lower("text").rlike(CUE)).select("path", "text", "_f").distinct()
     each = cued.select("path", "_f", F.size(F.split(F.trim("text"), r"\s+")).alias("words"), F.explode(F.split("text", SENTENCE)).alias("s"))
     sections = cut_lineage(each.filter(F.lower("s").rlike(CUE)).select("path", "_f", "words", F.lower(F.trim("s")).alias("form")))
@@ -89,4 +93,5 @@ def scan(files: DataFrame) -> DataFrame:
     heir = near.groupBy("_f").agg(F.max(F.struct(F.length("dir").alias("n"), "dir", "licence", "cosine")).alias("m"))
     heir = heir.select("_f", "m.licence", "m.cosine", F.lit("inherited").alias("origin"), F.col("m.dir").alias("from_dir"))
     mine = own.select("_f", "licence", "cosine", F.lit("own").alias("origin"), F.lit(None).cast("string").alias("from_dir"))
-    return rows.drop("text").join(cut_lineage(mine.unionByName(heir)), "_f", "left").drop("_f")
+    found = cut_lineage(mine.unionByName(heir)).withColumnRenamed("_f", key)
+    return files.drop("text").join(found, key, "left").drop(key)

@@ -125,7 +125,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
             continue
         for g, kind in parts:
             script = _script(m[g])
-            found.append((*m.span(g), f"given:{script}:{gender}" if kind == "given" else f"surname:{script}", m[g]))
+            found.append((*m.span(g), f"given:{script}:{gender}" if kind == "given" else f"surname:{script}", m[g].title()))
     found.sort()
     out, end = [], 0
     for e in found:
@@ -252,21 +252,30 @@ def _later(docs: DataFrame, key: bytes) -> DataFrame | None:
     return cut_lineage(each.groupBy("text_id").agg(F.collect_list(F.struct("kind", "norm", "attempt")).alias("later")))
 
 
+def _free(name: str, columns: list[str]) -> str:
+    """A column name like ``name`` that the table does not have."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def pseudonymise(docs: DataFrame, key: bytes = KEY, count: str | None = None) -> DataFrame:
     """The table with surrogates in ``text``; ``count`` names a column for the number of entities replaced."""
     columns = [c for c in docs.columns if c != count]
-    rows = docs.select(*columns, F.xxhash64("text").alias("__text_id"))
+    key_name, later_name = _free("text_id", columns), _free("later", columns)
+    rows = docs.select(*columns, F.xxhash64("text").alias(key_name))
     later = _later(docs, key)
     if later is None:
-        rows = rows.withColumn("__later", F.lit(None).cast("array<struct<kind:string,norm:string,attempt:int>>"))
+        rows = rows.withColumn(later_name, F.lit(None).cast("array<struct<kind:string,norm:string,attempt:int>>"))
     else:
-        rows = rows.join(later.withColumnRenamed("later", "__later"), F.col("__text_id") == later.text_id, "left").drop("text_id")
+        rows = rows.join(later.select(F.col("text_id").alias(key_name), F.col("later").alias(later_name)), key_name, "left")
     out = docs.select(*columns, *([F.lit(0).alias(count)] if count else [])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             new, n = [], []
-            for t, later in zip(b.column("text").to_pylist(), b.column("__later").to_pylist(), strict=True):
+            for t, later in zip(b.column("text").to_pylist(), b.column(later_name).to_pylist(), strict=True):
                 attempts = {(x["kind"], x["norm"]): x["attempt"] for x in later or ()}
                 done = replace(t, attempts, key) if t is not None else (None, 0)
                 new.append(done[0])
@@ -274,4 +283,4 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY, count: str | None = None) ->
             own = {c: b.column(c) for c in columns} | {"text": pa.array(new, pa.string())} | ({count: pa.array(n, pa.int32())} if count else {})
             yield pa.RecordBatch.from_arrays(list(own.values()), list(own))
 
-    return rows.select(*columns, "__later").mapInArrow(run, out)
+    return rows.select(*columns, later_name).mapInArrow(run, out)
