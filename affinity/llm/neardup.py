@@ -242,9 +242,11 @@ def _star_cells(pairs: DataFrame) -> DataFrame:
 def _cells(shared: DataFrame, labels: DataFrame, sigs: DataFrame) -> DataFrame:
     """(node, cluster, i, j, label): the cells of the classes that share a bucket with another label."""
     own = _labelled(shared.select("c", "band"), labels)
-    mixed = own.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("c").alias("lead")).filter("lo < hi")
-    members = cut_lineage(own.join(mixed.select("band", "lead"), "band").select("c", "lead", "label").distinct())
-    clusters = components(members, "c", "lead").join(members.select(F.col("c").alias("node"), "label").distinct(), "node")
+    mixed = own.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi")
+    members = cut_lineage(own.join(mixed.select("band", "lo"), "band").select("c", "label", "lo").distinct())
+    # labels, not classes, are tied together: a group that is one label already is one node
+    tied = components(members.select("label", "lo").distinct(), "label", "lo").withColumnRenamed("node", "label")
+    clusters = members.select(F.col("c").alias("node"), "label").distinct().join(tied, "label")
     clusters = clusters.join(sigs.groupBy(F.col("c").alias("node")).agg(F.max("n").alias("n")), "node")
     clusters = cut_lineage(clusters)
     sizes = cut_lineage(clusters.groupBy("component").agg(_pieces().alias("p")))
