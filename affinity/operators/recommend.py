@@ -7,12 +7,12 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
 from pyspark.ml.recommendation import ALS, ALSModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from affinity.operators.aggregates import item_means_zero_filled
-from affinity.operators.baseline import baseline_als, baseline_predict, residuals
+from affinity.operators.baseline import Baseline, baseline_als, baseline_predict, residuals
 from affinity.operators.joins import counts_left_outer, pos_neg_pairs
 from affinity.operators.metrics import errors, mean_auc
 from affinity.operators.scale import grouped_index, range_bucket, split_join, with_row
@@ -267,6 +267,96 @@ def cross_validate(ratings: DataFrame, predict: Predictor, k: int = 10, fold: st
     return out
 
 
+def _side_by_side(spark: SparkSession, run: Callable[[tuple], list[tuple]], settings: list[tuple], threads: int) -> list[tuple]:
+    """Rows of ``run`` for every setting; job groups and local properties of the session go with each thread."""
+    with ThreadPoolExecutor(threads) as pool:
+        return [row for rows in pool.map(inheritable_thread_target(spark)(run), settings) for row in rows]
+
+
+def _fold_parts(ratings: DataFrame, fold: str, f: int) -> tuple[DataFrame, DataFrame]:
+    """(train rows, all rows with their part) of a fold."""
+    part = F.when(F.col(fold) == f, "test").otherwise("train")
+    return ratings.filter(F.col(fold) != f).drop(fold), ratings.withColumn("part", part).drop(fold)
+
+
+def cross_validate_fitted(ratings: DataFrame, predict: Predictor, k: int = 10, fold: str = "fold", threads: int = 4) -> DataFrame:
+    """(fold, part, rmse, mae, n) like :func:`cross_validate` with train scores, for predictors that fit a model.
+
+    A fold's model is fitted once and judged on its test and its train rows in one pass; ``predict`` keeps the
+    columns of its targets. Folds run side by side over one stored table, and leave two rows each on the driver.
+    """
+    stored = cut_lineage(ratings)
+
+    def run(setting: tuple) -> list[tuple]:
+        train, marked = _fold_parts(stored, fold, setting[0])
+        return [(setting[0], *row) for row in errors(predict(train, marked), "part").collect()]
+
+    rows = _side_by_side(ratings.sparkSession, run, [(f,) for f in range(k)], threads)
+    return ratings.sparkSession.createDataFrame(rows, "fold int, part string, rmse double, mae double, n bigint")
+
+
+def _folds_apart(ratings: DataFrame, folds: int, fold: str) -> tuple[DataFrame, DataFrame]:
+    """(train, test): (fold, user_id, item_id, rating) of all folds with ids numbered apart, so that no pair crosses two folds."""
+
+    def apart(df: DataFrame) -> DataFrame:
+        both = [(F.col(c) * folds + F.col(fold)).alias(c) for c in ("user_id", "item_id")]
+        return df.select(F.col(fold).cast("int").alias("fold"), *both, "rating")
+
+    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col(fold))
+    return cut_lineage(apart(ratings.withColumn(fold, F.explode(others)))), cut_lineage(apart(ratings))
+
+
+def _centred_by_fold(train: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a row with the mean of each fold, the ratings less it)."""
+    level = train.groupBy("fold").agg(F.avg("rating").alias("_mean"))
+    less = train.join(F.broadcast(level), "fold").select("user_id", "item_id", (F.col("rating") - F.col("_mean")).alias("rating"))
+    return level, less
+
+
+def factor_scores(
+    ratings: DataFrame, epochs: Iterable[int] = (5, 10), regs: Iterable[float] = (0.4, 0.6), n_factors: int = 10, folds: int = 10, fold: str = "fold", threads: int = 4
+) -> DataFrame:
+    """(epochs, reg, fold, part, rmse, mae, n) of :func:`biased_mf` for every setting, on test and train rows of each fold.
+
+    One fit serves all folds: ids are numbered apart by fold, and both the biases and the alternating least squares
+    solve each id from its own ratings and partners only, so a fold gets what it would get alone (from another
+    random start). Ids times ``folds`` must fit an int; see assign_ids. Biases are fitted once for each number of
+    epochs, penalties run side by side, and each fit leaves two rows a fold on the driver. Alternating least squares
+    has no step size, so there is no axis for one.
+    """
+    spark = ratings.sparkSession
+    train, test = _folds_apart(ratings, folds, fold)
+    level, less = _centred_by_fold(train)
+    marked = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test"))).join(F.broadcast(level), "fold")
+    marked, less = cut_lineage(marked), cut_lineage(less)
+    regs, lo, hi = [(float(r),) for r in regs], *map(F.lit, RATING_SCALE)
+    rows: list[tuple] = []
+    for n in map(int, epochs):
+        base = Baseline(*map(cut_lineage, baseline_als(less, n)))
+        left = cut_lineage(residuals(less, base))
+        targets = cut_lineage(baseline_predict(marked, base, "_b"))
+
+        def run(setting: tuple, n: int = n, left: DataFrame = left, targets: DataFrame = targets) -> list[tuple]:
+            model = als(rank=n_factors, reg=setting[0], max_iter=n).setColdStartStrategy("nan").fit(left)
+            guess = F.col("_mean") + F.col("_b") + F.nanvl(F.col("prediction").cast("double"), F.lit(0.0))
+            fit = model.transform(targets).withColumn("prediction", F.least(F.greatest(guess, lo), hi))
+            return [(n, setting[0], *row) for row in errors(fit, "fold", "part").collect()]
+
+        rows += _side_by_side(spark, run, regs, threads)
+    return spark.createDataFrame(rows, "epochs int, reg double, fold int, part string, rmse double, mae double, n bigint")
+
+
+def factor_grid(ratings: DataFrame, **settings: object) -> DataFrame:
+    """(epochs, reg, mean_rmse, mean_mae, train_rmse, train_mae): :func:`factor_scores` over all folds, best first."""
+
+    def mean(part: str, score: str, out: str) -> Column:
+        return F.avg(F.when(F.col("part") == part, F.col(score))).alias(out)
+
+    kinds = [("test", "rmse", "mean_rmse"), ("test", "mae", "mean_mae"), ("train", "rmse", "train_rmse"), ("train", "mae", "train_mae")]
+    runs = factor_scores(ratings, **settings)
+    return runs.groupBy("epochs", "reg").agg(*[mean(*k) for k in kinds]).orderBy("mean_rmse", "epochs", "reg")
+
+
 def cross_validation_means(scores: DataFrame) -> DataFrame:
     return scores.groupBy("part").agg(F.avg("rmse").alias("mean_rmse"), F.avg("mae").alias("mean_mae"), F.count(F.lit(1)).alias("folds"))
 
@@ -286,32 +376,35 @@ def grid_search_report(
 
 
 def knn_grid(
-    ratings: DataFrame, measures: dict[str, Callable[[DataFrame], DataFrame]], ks: Iterable[int] = range(2, 40), folds: int = 10, fold: str = "fold"
+    ratings: DataFrame,
+    measures: dict[str, Callable[[DataFrame], DataFrame]],
+    ks: Iterable[int] = range(2, 40),
+    folds: int = 10,
+    fold: str = "fold",
+    centred: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
 ) -> DataFrame:
     """(sim, k, mean_rmse, mean_mae) of :func:`knn_basic_predict` for every measure and k, over all folds.
 
     The folds go through each measure side by side: ids are numbered apart by fold, so no pair crosses two folds
-    (a measure must be a sum over pairs, without figures of the whole table). Neighbours are ranked once, and running
+    (a measure must be a sum over pairs or per-id figures, without figures of the whole table). A measure in
+    ``centred`` gets the ratings less the train mean of their fold: biases fitted to those are the ones each fold
+    would get alone, as their common mean is 0. Neighbours are ranked once, and running
     sums over their rank give the prediction of every k; a target with fewer neighbours keeps its last one.
     """
     ks = sorted(set(ks))
     most = ks[-1]
 
-    def apart(df: DataFrame) -> DataFrame:
-        both = [(F.col(c) * folds + F.col(fold)).alias(c) for c in ("user_id", "item_id")]
-        return df.select(F.col(fold).cast("int").alias("fold"), *both, "rating")
-
-    others = F.filter(F.sequence(F.lit(0), F.lit(folds - 1)), lambda f: f != F.col(fold))
-    train = cut_lineage(apart(ratings.withColumn(fold, F.explode(others))))
-    test = cut_lineage(apart(ratings))
+    train, test = _folds_apart(ratings, folds, fold)
     means = train.groupBy("fold").agg(F.avg(F.when(F.col("rating") > 0, F.col("rating"))).alias("g"))
     rated = train.select("user_id", F.col("item_id").alias("item_j"), F.col("rating").alias("r"))
     w = W.partitionBy("user_id", "item_id").orderBy(F.col("sim").desc(), "item_j")
     so_far = w.rowsBetween(W.unboundedPreceding, 0)
     all_ks = F.array(*[F.lit(k) for k in ks])
     out: DataFrame | None = None
-    for name, measure in measures.items():
-        near = _rated_neighbors(test, rated).join(_positive_sims(measure(train.drop("fold"))), ["item_id", "item_j"])
+    _, less = _centred_by_fold(train)
+    todo = [(name, m, train.drop("fold")) for name, m in measures.items()] + [(name, m, less) for name, m in (centred or {}).items()]
+    for name, measure, table in todo:
+        near = _rated_neighbors(test, rated).join(_positive_sims(measure(table)), ["item_id", "item_j"])
         near = near.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= most)
         guess = F.sum(F.col("sim") * F.col("r")).over(so_far) / F.sum("sim").over(so_far)
         near = near.select("user_id", "item_id", "k", guess.alias("p"), F.lead("k").over(w).isNull().alias("last"))
@@ -349,15 +442,13 @@ def als_grid(
     names = ["rank", "reg"] if alphas is None else ["rank", "reg", "alpha"]
     settings = [(int(r), float(g), *a) for r in ranks for g in regs for a in ([()] if alphas is None else [(float(x),) for x in alphas])]
 
-    def run(setting: tuple) -> tuple:
+    def run(setting: tuple) -> list[tuple]:
         model = als(**dict(zip(names, setting, strict=True)), max_iter=max_iter, implicit=alphas is not None)
         fit = model.setNumBlocks(blocks).fit(train)
         e = errors(fit.transform(test)).first()
-        return (*setting, e["rmse"], e["mae"])
+        return [(*setting, e["rmse"], e["mae"])]
 
-    with ThreadPoolExecutor(threads) as pool:
-        # job groups and local properties of the session go with each thread
-        rows = list(pool.map(inheritable_thread_target(spark)(run), settings))
+    rows = _side_by_side(spark, run, settings, threads)
     kinds = ["rank int", "reg double", "alpha double"][: len(names)]
     return spark.createDataFrame(rows, ", ".join([*kinds, "rmse double", "mae double"])).orderBy("rmse", *names)
 

@@ -11,6 +11,7 @@ from affinity.operators import classify as C
 from affinity.operators import metrics as M
 from affinity.operators import split as SP
 from affinity.operators import text as X
+from affinity.operators import tuning as TU
 from affinity.operators import vectors as V
 from affinity.operators import viewbuy as VB
 from affinity.plans.registry import TEXTS, VIEWBUY, query, r6, s6
@@ -117,6 +118,15 @@ def svm_grid(spark, sf):
     return C.svm_grid(folds.select("label", "features", "fold"), len(FEATS), [1, 100], [0.001], folds=3, rff_dim=32, max_iter=10)
 
 
+@query("svm_best")
+def svm_best(spark, sf):
+    """The best of a grid, fitted again, stored, loaded and judged on the hold-out."""
+    train, test = _learn_split(spark, sf)
+    folds = SP.kfold_assign(train, ["item_id", "user_also_view"], 3).select("label", "features", "fold")
+    grid = C.svm_grid(folds, len(FEATS), [1, 100], [0.001], folds=3, rff_dim=32, max_iter=10)
+    return TU.svm_best(grid, train, test, len(FEATS), scratch_dir(spark), rff_dim=32)
+
+
 @query("decision_scores")
 def decision_scores(spark, sf):
     train, test = _learn_split(spark, sf)
@@ -474,6 +484,14 @@ def random_forest_grid(spark, sf):
     return C.grid_table(data, model, [(10,), (20,)]).withColumnRenamed("p0", "trees")
 
 
+@query("random_forest_best")
+def random_forest_best(spark, sf):
+    """The chosen forest on the documents that the grid has not seen."""
+    train, test = SP.train_test(_doc_features(spark, sf), ["doc_id"], 20)
+    model = C.random_forest_grid(SP.kfold_assign(cut_lineage(train), ["doc_id"], 3), [10, 20], folds=3)
+    return TU.forest_best(model, [10, 20], test)
+
+
 @query("logistic_fit")
 def logistic_fit(spark, sf):
     return C.logistic_summary(_doc_features(spark, sf))
@@ -481,21 +499,18 @@ def logistic_fit(spark, sf):
 
 @query("compare_embeddings")
 def compare_embeddings(spark, sf):
-    """Mean vectors, idf-weighted vectors and both side by side, one and two passes, by error rate."""
-    from affinity.operators.tuning import compare_embeddings as run
-
+    """Mean vectors, idf-weighted vectors and both side by side, direct and inferred, by error rate."""
     docs = _review_tokens(spark, sf)
 
-    def mean(train, all_docs, passes):
-        return X.doc_vectors(_w2v(train, passes), all_docs).select("doc_id", "docvec")
+    def mean(model, rows):
+        return X.doc_vectors(model, rows).select("doc_id", "docvec")
 
-    def idf(train, all_docs, passes):
-        return X.idf_doc_vectors(_w2v(train, passes), all_docs, "doc_id")
+    def idf(model, rows):
+        return X.idf_doc_vectors(model, rows, "doc_id")
 
-    def both(train, all_docs, passes):
-        return X.concat_embeddings(
-            mean(train, all_docs, passes), idf(train, all_docs, passes).withColumnRenamed("docvec", "other"), "doc_id", "docvec", "other", "docvec"
-        )
+    def both(model, rows):
+        other = idf(model, rows).withColumnRenamed("docvec", "other")
+        return X.concat_embeddings(mean(model, rows), other, "doc_id", "docvec", "other", "docvec")
 
-    runs = run(docs, "doc_id", "label", {"mean": mean, "idf": idf, "mean+idf": both}, passes=(1, 2))
+    runs = TU.compare_embeddings(docs, "doc_id", "label", _w2v, {"mean": mean, "idf": idf, "mean+idf": both}, passes=(1, 2, 5))
     return A.best_by_metric(runs, "model", "error_rate", "pass")

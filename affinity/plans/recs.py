@@ -319,6 +319,17 @@ def knn_grid(spark, sf):
     return _six(P.knn_grid(_folds(spark, sf, 10), measures), "mean_rmse", "mean_mae")
 
 
+@query("knn_baseline_grid")
+def knn_baseline_grid(spark, sf):
+    """Item kNN for k from 2 to 39 on residuals of biases from either method, ten folds."""
+
+    def pearson(fit):
+        return lambda train: S.item_pearson_baseline(B.residuals(train, fit(train)))
+
+    centred = {"pearson_baseline_als": pearson(B.baseline_als), "pearson_baseline_gd": pearson(B.baseline_gd)}
+    return _six(P.knn_grid(_folds(spark, sf, 10), {}, centred=centred), "mean_rmse", "mean_mae")
+
+
 # ---------------------------------------------------------------- factor models
 
 
@@ -390,6 +401,34 @@ def biased_mf(spark, sf):
     return P.biased_mf(train, test)
 
 
+@query("factor_grid")
+def factor_grid(spark, sf):
+    """Epochs and penalties of the biased factor model, ten folds, with train scores."""
+    return P.factor_grid(_rating_folds(spark, sf))
+
+
+def _rating_folds(spark, sf):
+    return SP.kfold_assign(T.ratings(spark, sf), ["user_id", "item_id"], 10)
+
+
+@query("cross_validate_factors")
+def cross_validate_factors(spark, sf):
+    """Ten epochs and a penalty of 0.6: errors of each of ten folds on its test and train rows."""
+    return P.factor_scores(_rating_folds(spark, sf), [10], [0.6])
+
+
+@query(
+    "cross_validate_facts",
+    f"""WITH {BRAND}, rf AS (SELECT CAST({HASH} % 10 AS INTEGER) AS fold FROM ratings), f AS (SELECT DISTINCT fold FROM rf)
+    SELECT f.fold, CASE WHEN rf.fold = f.fold THEN 'test' ELSE 'train' END AS part, count(*) AS n, 1 AS ordered FROM rf, f GROUP BY 1, 2""",
+)
+def cross_validate_facts(spark, sf):
+    """What must hold whatever the factors are: a rating is in one test part and nine train parts, and no error is below 0."""
+    scores = P.factor_scores(_folds(spark, sf, 10), [2], [0.6], n_factors=2)
+    ok = (F.col("rmse") >= F.col("mae")) & (F.col("mae") >= 0)
+    return scores.select("fold", "part", "n", ok.cast("int").alias("ordered"))
+
+
 @query("co_clustering")
 def co_clustering(spark, sf):
     r = cut_lineage(T.brand_ratings(spark, sf))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from affinity.operators import classify as C
 from affinity.operators import metrics as M
 from affinity.operators import split as SP
+from affinity.operators import tuning as TU
 from affinity.operators import viewbuy as VB
 
 
@@ -113,3 +114,42 @@ def test_forest_mlp_and_logistic(rings):
     assert terms == ["x0", "x1", "const"]
     p = C.positive_probability(C.logistic().fit(rings), rings)
     assert p.filter("probability_1 < 0 OR probability_1 > 1").count() == 0
+
+
+def test_best_models_are_judged_on_the_hold_out(rings, tmp_path):
+    train, test = SP.train_test(rings, ["id"], 30)
+    folds = SP.kfold_assign(train, ["id"], 2).select("label", "features", "fold")
+    grid = C.svm_grid(folds, 2, [10], [0.5], folds=2, rff_dim=32, max_iter=15)
+    best = TU.svm_best(grid, train, test, 2, str(tmp_path), rff_dim=32, max_iter=15).first()
+    assert best["kernel"] == "rbf" and best["gamma"] == 0.5
+    assert best["tn"] + best["fp"] + best["fn"] + best["tp"] == test.count()
+    assert best["accuracy"] > 0.95 and best["auc"] > 0.99 and best["auc_labels"] > 0.95
+    again = TU.svm_best(grid, train.limit(0), test, 2, str(tmp_path), rff_dim=32, max_iter=15).first()  # loaded: no rows to fit
+    assert again == best
+    one = TU.svm_best(grid, train, test.filter("label = 1"), 2, str(tmp_path), rff_dim=32).first()
+    assert one["auc"] is None and one["tp"] + one["fn"] == test.filter("label = 1").count()
+    model = C.random_forest_grid(SP.kfold_assign(train, ["id"], 2), [1, 5], folds=2)
+    forest = TU.forest_best(model, [1, 5], test).first()
+    assert forest["trees"] == model.bestModel.getNumTrees and forest["n"] == test.count() and forest["accuracy"] > 0.9
+    assert forest["cv_accuracy"] == max(model.avgMetrics)
+
+
+def test_compare_embeddings_runs_inferred_vectors_and_marks_the_best(spark):
+    rows = [(i, float(i % 2), ([f"good{i % 3}", "fine"] if i % 2 else [f"bad{i % 3}", "poor"]) + ["the"] * (i % 4)) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, label double, tokens array<string>").cache()
+    trained_on = []
+
+    def fit(texts, passes):
+        trained_on.append((passes, texts.count()))
+        return passes
+
+    def marked(noise):  # a vector that tells the label, or nothing
+        return lambda model, d: d.select("doc_id", F.array(F.when(F.lit(noise), 0.0).otherwise(F.col("label")) + F.col("doc_id") % 7 * 0.01).alias("docvec"))
+
+    got = TU.compare_embeddings(docs, "doc_id", "label", fit, {"sure": marked(False), "blind": marked(True)}, (1, 2, 4), infer_every=2).collect()
+    train, test = SP.train_test(docs, ["doc_id"], 20)
+    assert trained_on == [(p, n) for p in (1, 2, 4) for n in (80, train.count())]
+    names = {"sure", "blind", "sure_inferred", "blind_inferred"}
+    assert {(r["model"], r["pass"]) for r in got} == {(m, p) for m in names for p in (1, 2, 4)}
+    assert all(r["n"] == test.count() and r["best_so_far"] for r in got)  # equal errors beat none, so all are best
+    assert all(r["error_rate"] == 0 for r in got if r["model"].startswith("sure"))

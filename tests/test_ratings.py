@@ -171,6 +171,45 @@ def test_knn_grid_equals_one_cross_validation_per_setting(skewed):
     assert set(got) == {2, 3, 30}
 
 
+def test_knn_grid_on_biases_equals_one_cross_validation_per_setting(skewed):
+    folded = SP.kfold_assign(skewed, ["user_id", "item_id"], 3)
+    for fit in (lambda t: B.baseline_als(t, 2), lambda t: B.baseline_gd(t, 2)):
+
+        def measure(train, fit=fit):
+            return S.item_pearson_baseline(B.residuals(train, fit(train))).withColumn("sim", F.round("sim", 9))
+
+        got = P.knn_grid(folded, {}, [4], 3, centred={"pb": measure}).collect()
+        scores = P.cross_validate(folded, lambda train, test, m=measure: P.knn_basic_predict(train, m(train), test, 4), 3)
+        m = P.cross_validation_means(scores).first()
+        assert [(r["sim"], r["k"]) for r in got] == [("pb", 4)]
+        assert (got[0]["mean_rmse"], got[0]["mean_mae"]) == pytest.approx((m["mean_rmse"], m["mean_mae"]))
+
+
+def test_factor_scores_equal_a_fit_for_each_fold(skewed):
+    """With a huge penalty factors vanish, so the random start has no say; with a small one they fit the train rows."""
+    folded = SP.kfold_assign(skewed, ["user_id", "item_id"], 3)
+    scores = P.factor_scores(folded, [4], [1e9, 0.01], n_factors=3, folds=3)
+    got = {(r["fold"], r["part"]): (r["rmse"], r["mae"], r["n"]) for r in scores.filter("reg > 1").collect()}
+    alone = P.cross_validate_fitted(folded, lambda train, rows: P.biased_mf(train, rows, 3, 1e9, 4), 3)
+    want = {(r["fold"], r["part"]): (r["rmse"], r["mae"], r["n"]) for r in alone.collect()}
+    assert set(got) == set(want) and len(got) == 6
+    assert all(got[k] == pytest.approx(want[k], abs=1e-5) for k in want)
+    close = {(r["fold"], r["part"]): r["rmse"] for r in scores.filter("reg < 1").collect()}
+    assert all(close[f, "train"] < got[f, "train"][0] for f in range(3))
+    grid = P.factor_grid(folded, epochs=[2], regs=[0.1, 1.0], n_factors=2, folds=3).collect()
+    assert [r["mean_rmse"] for r in grid] == sorted(r["mean_rmse"] for r in grid) and len(grid) == 2
+
+
+def test_fitted_folds_equal_cross_validation(skewed):
+    def predict(train, rows):
+        return CC.co_clustering_predict(train, CC.co_clustering(train, n_epochs=1), rows)
+
+    folded = SP.kfold_assign(skewed, ["user_id", "item_id"], 2)
+    got = sorted((r["fold"], r["part"], round(r["rmse"], 9), r["n"]) for r in P.cross_validate_fitted(folded, predict, 2).collect())
+    want = P.cross_validate(folded, predict, 2, train_scores=True).collect()
+    assert got == sorted((r["fold"], r["part"], round(r["rmse"], 9), r["n"]) for r in want)
+
+
 @pytest.mark.parametrize("n", [1, 3, 40])
 def test_top_n_from_similarities_equals_top_n_of_all_unrated_pairs(toy, skewed, n):
     for ratings in (toy, skewed):
