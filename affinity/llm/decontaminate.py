@@ -6,8 +6,8 @@ window and an item is the weighted Jaccard of their shingle multisets.
 
 1. Of each item the rarest shingles are probes, until they hold more than a fifth of its weight: a window at
    0.8 or more lacks at most a fifth, so it has one of them. Fingerprinting every window of every item
-   size would be some forty SimHashes a word; windows of the item's size are instead placed where a probe
-   puts the item's start, and one word to either side.
+   size would be some forty SimHashes a word; of the windows of the item's size all those are taken that
+   hold a probe, wherever it lies in them, and no others can be at 0.8.
 2. Each window and each item gets a 64-bit SimHash. They are joined on ``RADIUS + 1`` blocks of the
    fingerprint: two fingerprints within the radius agree on a block, so none of them is missed.
 3. Candidates within the radius are verified by the exact similarity.
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from affinity.session import cut_lineage
 
 SHINGLE, THRESHOLD, RADIUS = 5, 0.8, 20
-SHIFTS = (-1, 0, 1)
 BROADCAST_ROWS = 1_000_000
 
 
@@ -91,14 +90,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     share = F.sum(mass).over(per_item) * F.lit(1 - THRESHOLD)
     # a little beyond the bound, for rounding
     first = grams.withColumn("b", before).withColumn("s", share).filter(F.col("b") <= F.col("s") + 1e-9).select("item_id", "h")
-    probes = cut_lineage(rows.join(first, ["item_id", "h"]).select("item_id", "size", "h", "ipos"))
+    probes = cut_lineage(rows.join(first, ["item_id", "h"]).select("item_id", "size", "h").distinct())
 
     own = docs.select("doc_id", "text").filter("doc_id is not null")
     # outer: the inner form adds filters on the array, which put the split of the text inside the loop over its words
     places = _shingles(own, ["doc_id"]).select("doc_id", F.posexplode_outer("sh").alias("pos", "h"))
     met = places.join(_small(probes, probes.count()), "h")
-    met = met.select("doc_id", "item_id", "size", (F.col("pos") - F.col("ipos")).alias("d"), F.explode(F.array(*map(F.lit, SHIFTS))).alias("shift"))
-    hits = met.select("doc_id", "item_id", "size", F.greatest(F.col("d") + F.col("shift"), F.lit(0)).alias("start")).distinct()
+    # every window of the item's size that holds the probe
+    starts = F.sequence(F.greatest(F.col("pos") - F.col("size") + 1, F.lit(0)), F.col("pos"))
+    hits = met.select("doc_id", "item_id", "size", F.explode(starts).alias("start")).distinct()
     by_doc = cut_lineage(hits.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "size", "start")).alias("hits")))
 
     n_docs = by_doc.count()

@@ -1,5 +1,10 @@
 """What must not grow with the tables: broadcasts, windows left out, shuffled copies."""
 
+from collections import Counter
+
+import numpy as np
+
+from affinity.llm import decontaminate
 from affinity.operators import split as SP
 from affinity.session import cut_lineage
 
@@ -12,3 +17,21 @@ def test_ratings_are_not_broadcast(spark):
         anti = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "LeftAnti" in x]
         assert anti and all("SortMergeJoin" in x for x in anti)
         assert not {tuple(r) for r in got.collect()} & {r[:2] for r in rows}
+
+
+def test_windows_far_from_where_a_probe_puts_the_start(spark):
+    """Twelve words stand before the probes, so the best window starts twelve words before the place they name."""
+    front, rare, tail = [f"f{i}" for i in range(100)], [f"r{i}" for i in range(24)], [f"t{i}" for i in range(30)]
+    items = {0: front + rare + tail, 1: [*front, "own", *tail], **{i: [f"x{i}y{j}" for j in range(10)] + tail for i in range(2, 40)}}
+    words = [f"p{i}" for i in range(20)] + front + [f"n{i}" for i in range(12)] + rare + tail + [f"q{i}" for i in range(9)]
+    count = lambda x: Counter(tuple(x[i : i + 5]) for i in range(len(x) - 4))
+    df = Counter(s for x in items.values() for s in count(x))
+    mass = lambda c: sum(np.log1p(40 / df[s] if s in df else 40) * n for s, n in c.items())
+    target = count(items[0])
+    windows = [count(words[a : a + len(items[0])]) for a in range(len(words) - 4)]
+    best = max(mass(w & target) / mass(w | target) for w in windows)
+    assert best >= 0.8
+    docs = spark.createDataFrame([(7, " ".join(words))], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    got = {r.item_id: r for r in decontaminate.contaminated(docs, bench).collect()}
+    assert abs(got[0].similarity - best) < 1e-5
