@@ -6,8 +6,8 @@ shuffle; other words fall into ``RARE`` hash buckets. The output layer has two l
 its class), so that a prediction costs the square root of the vocabulary.
 
 Training is data-parallel: in each of ``ROUNDS`` rounds every task runs Adagrad over its part of the corpus from
-the common model, at one word in ``STRIDE`` (another one in each round) of every document, and the
-models are averaged by the number of words seen, in a tree of groups. What reaches the driver is one model
+the common model, at every ``ROUNDS``-th word of every document (the next ones in each round, so that after the last
+round each word has been a target once), and the models are averaged by the number of words seen, in a tree of groups. What reaches the driver is one model
 of fixed size, whatever the corpus; what is gathered for it grows with the corpus.
 
 Results in odd cases: null and empty texts have no words and score 0; repeated rows give equal scores; a
@@ -30,7 +30,7 @@ from affinity.llm.textops import LOWER, slices, span_hash, utf8, words
 SIDE = 64  # classes, and words of a class
 WORDS, RARE = SIDE * SIDE - 64, 64
 DIM, REACH, BATCH = 24, 2, 4096
-STRIDE, ROUNDS, RATE = 8, 2, 0.1
+ROUNDS, RATE = 2, 0.1
 _OFFSETS = np.array([o for o in range(-REACH, REACH + 1) if o])
 PAD = SIDE * SIDE
 
@@ -180,7 +180,7 @@ def vocabulary(docs: DataFrame) -> np.ndarray:
     return np.array([r[0] for r in top], np.int64).view(np.uint64)
 
 
-def _train_round(docs: DataFrame, known: np.ndarray, number: np.ndarray, model: np.ndarray, offset: int) -> np.ndarray:
+def _train_round(docs: DataFrame, known: np.ndarray, number: np.ndarray, model: np.ndarray, turn: int) -> np.ndarray:
     blocks = 16
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +192,7 @@ def _train_round(docs: DataFrame, known: np.ndarray, number: np.ndarray, model:
             ids, at = _ids(data, offs, known, number)
             pos = np.arange(len(ids))
             row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            pick = (pos - at[row]) % STRIDE == offset
+            pick = (pos - at[row]) % ROUNDS == turn
             held_c.append(_context(ids, at, pos[pick], row[pick]))
             held_y.append(ids[pick])
             size += len(held_y[-1])
@@ -234,7 +234,7 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     known, number = top[order], order.astype(np.int64)
     model = Network.start().pack()
     for r in range(ROUNDS):
-        model = _train_round(docs, known, number, model, (3 + 4 * r) % STRIDE)
+        model = _train_round(docs, known, number, model, r)
     return known, number, model
 
 

@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from affinity.llm import decontaminate
+from affinity.llm import decontaminate, pseudolik
 from affinity.operators import split as SP
 from affinity.session import cut_lineage
 
@@ -35,3 +35,12 @@ def test_windows_far_from_where_a_probe_puts_the_start(spark):
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
     got = {r.item_id: r for r in decontaminate.contaminated(docs, bench).collect()}
     assert abs(got[0].similarity - best) < 1e-5
+
+
+def test_every_word_is_a_target_of_the_training(spark):
+    """Each word stands at one place of its document only, so a place that is left out shows in the score."""
+    text = " ".join(["ash", "birch", "cedar", "date", "elm", "fir", "gum", "hazel"])
+    docs = spark.range(4000).selectExpr("id AS doc_id", f"'{text}' AS text").repartition(2)
+    for places in (text, " ".join(text.split()[:3])):
+        one = spark.createDataFrame([(0, places)], "doc_id long, text string")
+        assert pseudolik.score(one, pseudolik.fit(docs)).first().mean_log_likelihood > -4
