@@ -4,8 +4,10 @@ from collections import Counter
 
 import numpy as np
 
+from affinity.functions.stemmer import stem
 from affinity.llm import decontaminate, pseudolik
 from affinity.operators import split as SP
+from affinity.operators import text as X
 from affinity.session import cut_lineage
 
 
@@ -44,3 +46,11 @@ def test_every_word_is_a_target_of_the_training(spark):
     for places in (text, " ".join(text.split()[:3])):
         one = spark.createDataFrame([(0, places)], "doc_id long, text string")
         assert pseudolik.score(one, pseudolik.fit(docs)).first().mean_log_likelihood > -4
+
+
+def test_stems_need_no_shuffle(spark):
+    rows = [(1, ["running", "flies", "running"]), (1, ["cities", None]), (None, []), (2, None), (3, [None])]
+    got = X.stem_tokens(spark.createDataFrame(rows, "doc_id long, tokens array<string>"), "doc_id")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {(1, (stem("running"), stem("flies"), stem("running"))), (1, (stem("cities"),)), (None, ()), (2, None), (3, (None,))}
+    assert {(r.doc_id, r.tokens if r.tokens is None else tuple(r.tokens)) for r in got.collect()} == want
