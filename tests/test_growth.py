@@ -54,3 +54,10 @@ def test_stems_need_no_shuffle(spark):
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
     want = {(1, (stem("running"), stem("flies"), stem("running"))), (1, (stem("cities"),)), (None, ()), (2, None), (3, (None,))}
     assert {(r.doc_id, r.tokens if r.tokens is None else tuple(r.tokens)) for r in got.collect()} == want
+
+
+def test_copy_groups_shuffle_documents_not_words(spark):
+    rows = [(5, ["a", "b", "a"]), (3, ["b", "a", "a"]), (4, ["a", "b"]), (7, ["b"]), (7, ["a"]), (8, []), (9, None), (None, ["a", "b"])]
+    got = X.copy_groups(spark.createDataFrame(rows, "doc_id long, tokens array<string>"), "doc_id")
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in got.collect()} == {(5, 3), (3, 3), (4, 4), (7, 4), (None, 4)}
