@@ -3,11 +3,14 @@
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from affinity.functions.stemmer import stem
 from affinity.llm import decontaminate, pseudolik
+from affinity.operators import cells
 from affinity.operators import split as SP
 from affinity.operators import text as X
+from affinity.operators import vectors as V
 from affinity.session import cut_lineage
 
 
@@ -61,3 +64,16 @@ def test_copy_groups_shuffle_documents_not_words(spark):
     got = X.copy_groups(spark.createDataFrame(rows, "doc_id long, tokens array<string>"), "doc_id")
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
     assert {tuple(r) for r in got.collect()} == {(5, 3), (3, 3), (4, 4), (7, 4), (None, 4)}
+
+
+def test_leaves_grow_with_a_table_of_many_dimensions(spark, monkeypatch):
+    """With 16 leaves at most a vector travels 16 times, however many vectors there are; the rows are those of any leaf size."""
+    monkeypatch.setattr(cells, "CELL", 20)
+    x = np.random.default_rng(3).normal(size=(2000, 16))
+    many = cut_lineage(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>"))
+    assert V._leaf_size(many) == 125
+    assert V._leaf_size(many.withColumn("v", F.slice("v", 1, 2))) == 20
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    got = {r.id: r.neighbor for r in V.knn_l2_exact(many, "id", "v", 1).collect()}
+    assert [got[i] for i in range(len(x))] == d.argmin(axis=1).tolist()
