@@ -30,6 +30,7 @@ from affinity.llm.textops import LOWER, slices, span_hash, utf8, words
 SIDE = 64  # classes, and words of a class
 WORDS, RARE = SIDE * SIDE - 64, 64
 DIM, REACH, BATCH = 24, 2, 4096
+PIECE = 2048  # targets worked on at once
 ROUNDS, RATE = 2, 0.1
 _OFFSETS = np.array([o for o in range(-REACH, REACH + 1) if o])
 PAD = SIDE * SIDE
@@ -76,54 +77,86 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _hidden(net: Network, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    e = net.e[ctx]
-    return e, np.tanh(np.einsum("bod,od->bd", e, net.p))
+    e = net.e.take(ctx, 0)
+    z = e[:, 0] * net.p[0]
+    for o in range(1, len(net.p)):
+        z += e[:, o] * net.p[o]
+    return e, np.tanh(z, out=z)
+
+
+def _by_class(y: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The order of targets by class, and the stretch of each class in it (the classes that occur)."""
+    kind = (y // SIDE).astype(np.uint8)  # small integers are sorted in linear time
+    edge = [0, *np.cumsum(np.bincount(kind, minlength=SIDE)).tolist()]
+    return np.argsort(kind, kind="stable"), [(k, slice(edge[k], edge[k + 1])) for k in range(SIDE) if edge[k] < edge[k + 1]]
+
+
+def _picked(z: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Log of the softmax of each row at one column; ``z`` is used up."""
+    z -= z.max(1, keepdims=True)
+    own = np.exp(z[np.arange(len(z)), col])
+    np.exp(z, out=z)
+    return np.log(own / z.sum(1) + 1e-30)
+
+
+def _word_level(net: Network, h: np.ndarray, parts: list[tuple[int, slice]]) -> np.ndarray:
+    """Scores of the words of each row's class; rows come by class."""
+    z = np.empty((len(h), SIDE), np.float32)
+    for k, at in parts:
+        np.add(h[at] @ net.m[k], net.mb[k], out=z[at])
+    return z
 
 
 def log_prob(net: Network, ctx: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Log-probability of each target given its context."""
+    order, parts = _by_class(y)
+    y = y.take(order)
+    _, h = _hidden(net, ctx.take(order, 0))
     out = np.empty(len(y))
-    _, h = _hidden(net, ctx)
-    kind, word = y // SIDE, y % SIDE
-    row = np.arange(len(y))
-    out = np.log(_softmax(h @ net.c + net.cb)[row, kind] + 1e-30).astype(np.float64)
-    order = np.argsort(kind, kind="stable")
-    edge = np.searchsorted(kind[order], np.arange(SIDE + 1))
-    for k in range(SIDE):
-        at = order[edge[k] : edge[k + 1]]
-        if len(at):
-            q = _softmax(h[at] @ net.m[k] + net.mb[k])
-            out[at] += np.log(q[np.arange(len(at)), word[at]] + 1e-30)
+    out[order] = _picked(h @ net.c + net.cb, y // SIDE).astype(np.float64) + _picked(_word_level(net, h, parts), y % SIDE)
     return out
 
 
 def train_step(net: Network, seen: list[np.ndarray], ctx: np.ndarray, y: np.ndarray) -> None:
-    """One Adagrad step on a batch; ``seen`` holds the sums of squared gradients."""
+    """One Adagrad step on a batch; ``seen`` holds the sums of squared gradients.
+
+    The gradient is added up over pieces of the batch, whose arrays stay in the processor's cache.
+    """
     b = len(y)
-    e, h = _hidden(net, ctx)
+    order, parts = _by_class(y)
+    ctx, y = ctx.take(order, 0), y.take(order)
     kind, word = y // SIDE, y % SIDE
-    row = np.arange(b)
-    pc = _softmax(h @ net.c + net.cb)
-    pc[row, kind] -= 1
-    dh = pc @ net.c.T
-    gm, gmb = np.zeros_like(net.m), np.zeros_like(net.mb)
-    order = np.argsort(kind, kind="stable")
-    edge = np.searchsorted(kind[order], np.arange(SIDE + 1))
-    for k in range(SIDE):
-        at = order[edge[k] : edge[k + 1]]
-        if len(at):
-            q = _softmax(h[at] @ net.m[k] + net.mb[k])
-            q[np.arange(len(at)), word[at]] -= 1
-            gm[k], gmb[k] = h[at].T @ q, q.sum(0)
-            dh[at] += q @ net.m[k].T
-    dz = dh * (1 - h * h)
+    dz = np.empty((b, DIM), np.float32)
+    gp, gc, gcb, gm, gmb = (np.zeros_like(a) for a in net.arrays()[1:])
+    for lo in range(0, b, PIECE):
+        hi = min(b, lo + PIECE)
+        here = [(k, slice(max(at.start, lo) - lo, min(at.stop, hi) - lo)) for k, at in parts if at.start < hi and at.stop > lo]
+        row = np.arange(hi - lo)
+        e, h = _hidden(net, ctx[lo:hi])
+        pc = _softmax(h @ net.c + net.cb)
+        pc[row, kind[lo:hi]] -= 1
+        q = _softmax(_word_level(net, h, here))
+        q[row, word[lo:hi]] -= 1
+        dh = pc @ net.c.T
+        for k, at in here:
+            gm[k] += h[at].T @ q[at]
+            gmb[k] += q[at].sum(0)
+            dh[at] += q[at] @ net.m[k].T
+        gc += h.T @ pc
+        gcb += pc.sum(0)
+        np.multiply(dh, 1 - h * h, out=dz[lo:hi])
+        gp += np.einsum("bod,bd->od", e, dz[lo:hi])
     flat = ctx.ravel()
     order = np.argsort(flat, kind="stable")
-    ids, first = np.unique(flat[order], return_index=True)
-    ge = np.add.reduceat((dz[:, None, :] * net.p).reshape(-1, DIM)[order], first)
-    grads = [None, np.einsum("bod,bd->od", e, dz), h.T @ pc, pc.sum(0), gm, gmb]
-    for a, s, g in zip(net.arrays()[1:], seen[1:], grads[1:], strict=True):
-        g = g / b
+    ids = flat.take(order)
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    ids = ids[first]
+    places = len(net.p)
+    around = dz.take(order // places, 0)
+    around *= net.p.take(order % places, 0)
+    ge = np.add.reduceat(around, first)
+    for a, s, g in zip(net.arrays()[1:], seen[1:], [gp, gc, gcb, gm, gmb], strict=True):
+        g /= b
         s += g * g
         a -= RATE * g / (np.sqrt(s) + 1e-6)
     ge /= b
@@ -131,6 +164,16 @@ def train_step(net: Network, seen: list[np.ndarray], ctx: np.ndarray, y: np.ndar
     net.e[ids] -= RATE * ge / (np.sqrt(seen[0][ids]) + 1e-6)
 
 
+def _first_not_below(known: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """What ``np.searchsorted(known, h)`` finds; the leading 16 bits lead to a handful of hashes."""
+    lead = np.searchsorted(known, np.arange(1 << 16, dtype=np.uint64) << np.uint64(48))
+    place = lead[(h >> np.uint64(48)).astype(np.int64)]
+    last = np.append(known, np.uint64((1 << 64) - 1))
+    for _ in range(int(np.diff(lead, append=len(known)).max())):
+        place += last[place] < h
+    return place
+
+
 def _ids(data: np.ndarray, offs: np.ndarray, known: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of all rows (``known``: ascending hashes, ``number``: their numbers) and the words before each row."""
     data = LOWER[data]
@@ -138,16 +181,23 @@ def _ids(data: np.ndarray, offs: np.ndarray, known: np.ndarray, number: np.ndarr
     h = span_hash(data, s, e)
     out = (WORDS + (h % np.uint64(RARE))).astype(np.int64)
     if len(known):
-        place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        place = np.minimum(_first_not_below(known, h), len(known) - 1)
         hit = known[place] == h
         out[hit] = number[place[hit]]
     return out, at
 
 
-def _context(ids: np.ndarray, at: np.ndarray, pos: np.ndarray, row: np.ndarray) -> np.ndarray:
-    place = pos[:, None] + _OFFSETS
-    inside = (place >= at[row][:, None]) & (place < at[row + 1][:, None])
-    return np.where(inside, ids[np.clip(place, 0, len(ids) - 1)], PAD)
+def _padded(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Word numbers with REACH empty places around each row, and the place of each word among them."""
+    place = np.arange(len(ids)) + REACH * np.repeat(np.arange(1, len(at)), np.diff(at))
+    out = np.full(len(ids) + REACH * len(at), PAD, np.int16)
+    out[place] = ids
+    return out, place
+
+
+def _keep_freed_memory() -> None:
+    """The allocator keeps freed blocks up to twice the largest it has seen freed; a step's arrays are then not mapped afresh each time."""
+    np.empty(31 << 20, np.uint8)
 
 
 def vocabulary(docs: DataFrame) -> np.ndarray:
@@ -184,6 +234,7 @@ def _train_round(docs: DataFrame, known: np.ndarray, number: np.ndarray, model:
     blocks = 16
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_freed_memory()
         net = Network.unpack(model)
         seen = [np.full_like(a, 1e-4) for a in net.arrays()]
         n, held_c, held_y, size, mark = 0, [], [], 0, 0
@@ -193,15 +244,18 @@ def _train_round(docs: DataFrame, known: np.ndarray, number: np.ndarray, model:
             pos = np.arange(len(ids))
             row = np.repeat(np.arange(len(at) - 1), np.diff(at))
             pick = (pos - at[row]) % ROUNDS == turn
-            held_c.append(_context(ids, at, pos[pick], row[pick]))
+            padded, place = _padded(ids, at)
+            held_c.append(padded[place[pick][:, None] + _OFFSETS])
             held_y.append(ids[pick])
             size += len(held_y[-1])
             mark = (mark * 31 + int(offs[-1])) % 64  # spreads the tasks over the first level of the tree
-            while size >= BATCH:
+            if size >= BATCH:
                 c, y = np.concatenate(held_c), np.concatenate(held_y)
-                train_step(net, seen, c[:BATCH], y[:BATCH])
-                held_c, held_y, size = [c[BATCH:]], [y[BATCH:]], size - BATCH
-                n += BATCH
+                full = size - size % BATCH
+                for a in range(0, full, BATCH):
+                    train_step(net, seen, c[a : a + BATCH], y[a : a + BATCH])
+                held_c, held_y, size = [c[full:]], [y[full:]], size - full
+                n += full
         if size:
             train_step(net, seen, np.concatenate(held_c), np.concatenate(held_y))
             n += size
@@ -243,15 +297,17 @@ def score(docs: DataFrame, fitted: tuple[np.ndarray, np.ndarray, np.ndarray]) ->
     known, number, model = fitted
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _keep_freed_memory()
         net = Network.unpack(model)
         for b in slices(batches):
             ids, at = _ids(*utf8(b.column("text")), known, number)
             row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            total = np.zeros(len(at) - 1)
-            for a in range(0, len(ids), 1 << 14):
-                pos = np.arange(a, min(len(ids), a + (1 << 14)))
-                r = row[pos]
-                total += np.bincount(r, log_prob(net, _context(ids, at, pos, r), ids[pos]), len(total))
+            padded, place = _padded(ids, at)
+            found = np.empty(len(ids))
+            for a in range(0, len(ids), PIECE):
+                part = slice(a, a + PIECE)
+                found[part] = log_prob(net, padded[place[part, None] + _OFFSETS], ids[part])
+            total = np.bincount(row, found, len(at) - 1).astype(float)  # whole numbers where no row has a word
             n = np.diff(at)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1))], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 

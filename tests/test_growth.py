@@ -3,6 +3,7 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from affinity.functions.stemmer import stem
@@ -51,6 +52,36 @@ def test_every_word_is_a_target_of_the_training(spark):
         assert pseudolik.score(one, pseudolik.fit(docs)).first().mean_log_likelihood > -4
 
 
+def test_a_training_batch_is_a_few_array_calls(monkeypatch):
+    """Places around a document are empty, and a slice of many batches is joined once, not once for each batch."""
+    padded, place = pseudolik._padded(np.array([5, 6, 7, 8]), np.array([0, 3, 3, 4]))
+    pad = pseudolik.PAD
+    around = padded[place[:, None] + pseudolik._OFFSETS].tolist()
+    assert around == [[pad, pad, 6, 7], [pad, 5, 7, pad], [5, 6, pad, pad], [pad] * 4]
+    top = (1 << 64) - 1
+    for known in ([7], [0, 5, 6, 1 << 48, (1 << 48) + 1, top], [3, top - 1]):
+        known, h = np.array(known, np.uint64), np.array([0, 5, 8, (1 << 48) + 1, 1 << 50, top - 1, top], np.uint64)
+        assert pseudolik._first_not_below(known, h).tolist() == np.searchsorted(known, h).tolist()
+    monkeypatch.setattr(pseudolik, "BATCH", 8)
+    joined, steps, concatenate = [], [], np.concatenate
+    monkeypatch.setattr(np, "concatenate", lambda x, *a: joined.append(sum(map(len, x))) or concatenate(x, *a))
+    monkeypatch.setattr(pseudolik, "train_step", lambda net, seen, ctx, y: steps.append(len(y)))
+    text = pa.table({"text": [" ".join(f"w{i % 50}" for i in range(1000))] * 2})
+
+    class Whole:  # hands the batches to the training function of a round
+        select = groupBy = applyInPandas = lambda self, *a: self
+        collect = lambda self: []
+
+        def mapInArrow(self, run, schema):
+            self.rows = list(run(iter(text.to_batches())))
+            return self
+
+    empty = np.array([], np.uint64)
+    pseudolik._train_round(Whole(), empty, empty.astype(np.int64), pseudolik.Network.start().pack(), 0)
+    assert sum(steps) == 1000 and set(steps) == {8}
+    assert sum(n for n in joined if n <= 1000) < 3000
+
+
 def test_stems_need_no_shuffle(spark):
     rows = [(1, ["running", "flies", "running"]), (1, ["cities", None]), (None, []), (2, None), (3, [None])]
     got = X.stem_tokens(spark.createDataFrame(rows, "doc_id long, tokens array<string>"), "doc_id")
