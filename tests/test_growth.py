@@ -25,6 +25,17 @@ def test_ratings_are_not_broadcast(spark):
         assert not {tuple(r) for r in got.collect()} & {r[:2] for r in rows}
 
 
+def test_tries_are_not_broadcast(spark):
+    rows = [(u, (u * 7 + i * 3) % 40, 3.0) for u in range(30) for i in range(6)]
+    rated = cut_lineage(spark.createDataFrame(rows, "user_id bigint, item_id bigint, rating double"))
+    for like in (None, rated.filter("item_id % 2 = 0")):
+        got = SP.negative_sample(rated, like=like)
+        per_user = {u: sum(r["user_id"] == u for r in got.collect()) for u in range(30)}
+        assert like is not None or set(per_user.values()) == {6}
+        joins = [x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x and "[idx#" in x]
+        assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def test_windows_far_from_where_a_probe_puts_the_start(spark):
     """Twelve words stand before the probes, so the best window starts twelve words before the place they name."""
     front, rare, tail = [f"f{i}" for i in range(100)], [f"r{i}" for i in range(24)], [f"t{i}" for i in range(30)]
