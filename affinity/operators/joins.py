@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affinity.operators.scale import grouped_sums, range_bucket
+from affinity.session import cut_lineage
 
 CHUNK = 1024  # items per chunk of the user x item product
 
@@ -46,15 +47,16 @@ def pos_neg_pairs(pos: DataFrame, neg: DataFrame) -> DataFrame:
     both = pos.select("user_id", "prediction", F.lit(1).alias("_p"), F.lit(0).alias("_n")).unionByName(
         neg.select("user_id", "prediction", F.lit(0).alias("_p"), F.lit(1).alias("_n"))
     )
-    per_score = both.groupBy("user_id", "prediction").agg(
-        F.sum("_p").alias("n_pos"), F.sum("_n").alias("_negs")
+    # three passes go over this table; the predictions are made for it once
+    per_score = cut_lineage(
+        both.groupBy("user_id", "prediction").agg(F.sum("_p").alias("n_pos"), F.sum("_n").alias("_negs"))
     )
     scores = per_score.select("prediction").distinct()
     bucket = range_bucket(scores, "prediction", 64)
     ranked = grouped_sums(
         per_score, ["user_id"], bucket, [F.col("prediction")], {"_upto": F.col("_negs")}
     )
-    totals = neg.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_neg"))
+    totals = per_score.groupBy("user_id").agg(F.sum("_negs").alias("n_neg")).filter("n_neg > 0")
     return (
         ranked.filter("n_pos > 0")
         .join(totals, "user_id")

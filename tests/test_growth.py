@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from affinity.functions.stemmer import stem
 from affinity.llm import decontaminate, pseudolik
 from affinity.operators import cells
+from affinity.operators import joins as J
 from affinity.operators import split as SP
 from affinity.operators import text as X
 from affinity.operators import vectors as V
@@ -119,3 +120,19 @@ def test_leaves_grow_with_a_table_of_many_dimensions(spark, monkeypatch):
     np.fill_diagonal(d, np.inf)
     got = {r.id: r.neighbor for r in V.knn_l2_exact(many, "id", "v", 1).collect()}
     assert [got[i] for i in range(len(x))] == d.argmin(axis=1).tolist()
+
+
+def test_predictions_are_made_once_for_the_pairs(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def predict(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    rows = [(u, float((u * i) % 7)) for u in range(5) for i in range(8)]
+    neg = spark.createDataFrame(rows, "user_id bigint, prediction double")
+    pos = spark.createDataFrame([(u, 3.0) for u in range(6)] + [(None, 1.0)], neg.schema)  # user 5 has no negatives
+    got = {r["user_id"]: (r["n_pos"], r["n_neg"], r["n_wins"]) for r in J.pos_neg_pairs(pos, neg.mapInPandas(predict, neg.schema)).collect()}
+    assert got == {u: (1, 8, sum(v == u and p < 3.0 for v, p in rows)) for u in range(5)}
+    assert made.value == len(rows)
